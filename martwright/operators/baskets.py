@@ -91,7 +91,7 @@ def product_pairs(baskets: DataFrame, products: DataFrame, block_size: int = 100
 
 def preview(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
     """The first rows in a given order: a top-k, not a full sort."""
-    return df.orderBy(*order).limit(rows)
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(rows)
 
 
 def attachment_rate(events: DataFrame, products: DataFrame) -> DataFrame:

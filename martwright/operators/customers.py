@@ -87,7 +87,8 @@ def by_customer(events: DataFrame, keys: Sequence[str], *measures) -> DataFrame:
 
     `two_invoices` tells whether the customer has at least two invoices over all keys,
     which is what makes a known customer a repeater. Reading it off the same
-    aggregate avoids a second pass over the events. After the (map-side combined)
+    aggregate avoids a second pass over the events, and it is why `events` must be all
+    events of a customer, not a selection by date. After the (map-side combined)
     grouping the rows of a customer are bounded by the number of key values, so the
     window and any later join on the customer are safe for very large customers.
     """

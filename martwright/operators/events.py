@@ -31,18 +31,15 @@ def customer_days(events: DataFrame, order: Sequence[str] = SAME_DAY_ORDER) -> D
     frame, which Spark re-evaluates from scratch for every row.
     """
     position = F.when(is_confirmed(), _position(order))
-    days = events.groupBy("customer_id", "event_date").agg(
-        F.min(position).alias("first_confirmed"), F.max(position).alias("last_confirmed")
-    )
-    invoice_day = F.when(F.col("first_confirmed").isNotNull(), F.col("event_date"))
-    customer = Window.partitionBy("customer_id")
-    before = customer.orderBy(F.col("event_date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    after = customer.orderBy(F.col("event_date").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    days = events.groupBy(
+        F.col("customer_id").alias("day_customer_id"), F.col("event_date").alias("day_date")
+    ).agg(F.min(position).alias("first_confirmed"), F.max(position).alias("last_confirmed"))
+    invoice_day = F.when(F.col("first_confirmed").isNotNull(), F.col("day_date"))
+    customer = Window.partitionBy("day_customer_id")
+    before = customer.orderBy(F.col("day_date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    after = customer.orderBy(F.col("day_date").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return days.select(
-        F.col("customer_id").alias("day_customer_id"),
-        F.col("event_date").alias("day_date"),
-        "first_confirmed",
-        "last_confirmed",
+        "*",
         F.max(invoice_day).over(before).alias("previous_invoice_day"),
         F.min(invoice_day).over(after).alias("next_invoice_day"),
     )
@@ -78,11 +75,16 @@ def attach_days(events: DataFrame, days: DataFrame, order: Sequence[str] = SAME_
     )
 
 
-def events_final(events: DataFrame, order: Sequence[str] = SAME_DAY_ORDER) -> DataFrame:
+def events_final(
+    events: DataFrame, order: Sequence[str] = SAME_DAY_ORDER, days: DataFrame | None = None
+) -> DataFrame:
     """Events plus the last confirmed invoice up to each and the next one from it on.
 
     Both include the event itself, so a confirmed invoice is 0 days from either. This
     is a running max and min over the customer's events ordered by date and
     `order`, without putting all events of a customer into one window task.
+
+    `days` is `customer_days` of the same events where it is at hand already, read from a
+    table or computed from a narrower source.
     """
-    return attach_days(events, customer_days(events, order), order)
+    return attach_days(events, customer_days(events, order) if days is None else days, order)

@@ -30,7 +30,11 @@ TIMING_COLUMNS = ("last_invoice_date", "next_invoice_date", "days_since_last_inv
 
 
 def combined(
-    events: DataFrame, customers: DataFrame, products: DataFrame, columns: Sequence[str] | None = None
+    events: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    columns: Sequence[str] | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """events_clean joined with customers_final and products_final, one row per event.
 
@@ -41,7 +45,8 @@ def combined(
 
     `columns` restricts the output and leaves out the joins it does not need. Customer
     and product ids are unique in their tables, so a left join to them neither adds nor
-    drops events; Spark cannot know that and would run the unused joins.
+    drops events; Spark cannot know that and would run the unused joins. `days` is as for
+    `events_final`.
     """
     customer_side = ["customer_id_c", *CUSTOMER_COLUMNS]
     product_side = ["product_id_p", *PRODUCT_COLUMNS[1:]]
@@ -53,7 +58,7 @@ def combined(
 
     mart = events
     if set(wanted) & {*TIMING_COLUMNS, *customer_side}:
-        days = customer_days(events)
+        days = customer_days(events) if days is None else days
         if set(wanted) & set(customer_side):
             attributes = customers.select(F.col("customer_id").alias("customer_id_c"), *CUSTOMER_COLUMNS)
             days = days.join(attributes, F.col("day_customer_id") == F.col("customer_id_c"), "left")

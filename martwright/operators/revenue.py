@@ -110,13 +110,15 @@ def price_by_product_country(
         .groupBy("product_id", "country")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    priced = products.where(F.col("product_name").isin(*names) & F.col("base_price_usd").isNotNull()).select(
+    priced = products.where(F.col("product_name").isin(*names)).select(
         "product_id", "product_name", cents("base_price_usd").alias("price")
     )
+    price, n = F.col("price"), F.col("n")
+    average = F.try_divide(F.sum(n * price), F.sum(F.when(price.isNotNull(), n))) / 100
     return (
         sold.join(priced, "product_id")
         .groupBy("product_name", "country")
-        .agg((F.sum(F.col("n") * F.col("price")) / F.sum("n") / 100).alias("average_price"))
-        .orderBy("product_name", F.col("average_price").desc(), "country")
+        .agg(average.alias("average_price"))
+        .orderBy("product_name", F.col("average_price").desc_nulls_first(), "country")
         .limit(rows)
     )

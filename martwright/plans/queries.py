@@ -47,6 +47,10 @@ class Inputs:
     def events(self) -> DataFrame:
         return clean.events_clean(self.events_raw)
 
+    @property
+    def days(self) -> DataFrame:
+        return events.customer_days(self.sales)
+
     @property
     def customers_raw(self) -> DataFrame:
         return testdata.customers_raw(self.spark, self.sf_dir)
@@ -100,9 +104,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "events_clean": lambda t: t.events,
     "customers_clean": lambda t: t.customers,
     "products_final": lambda t: t.products,
-    "events_final": lambda t: events.events_final(t.events),
+    "events_final": lambda t: events.events_final(t.events, days=t.days),
     "customers_final": lambda t: t.customers_final,
-    "combined": lambda t: mart.combined(t.events, t.customers_final, t.products),
+    "combined": lambda t: mart.combined(t.events, t.customers_final, t.products, days=t.days),
     # Orders against invoices
     "orders_proceed": lambda t: reconcile.orders_proceed(t.sales),
     "orders_not_proceed": lambda t: reconcile.orders_not_proceed(t.sales),

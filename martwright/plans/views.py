@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from martwright.operators import baskets, clean, customers, events, mart, reconcile
+from martwright.sinks import export_chunks
 
 
 def build_views(events_raw: DataFrame, customers_raw: DataFrame, products_raw: DataFrame) -> dict[str, DataFrame]:
@@ -39,14 +40,17 @@ def register_views(
     """
     views = build_views(events_raw, customers_raw, products_raw)
     if mart_path is not None:
-        views["combined"] = events_raw.sparkSession.read.schema(views["combined"].schema).parquet(mart_path)
+        columns = views["combined"].schema
+        views["combined"] = events_raw.sparkSession.read.schema(columns).parquet(mart_path).select(*columns.names)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return views
 
 
 def write_mart(mart_df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write the mart as parquet, partitioned by year."""
-    from martwright.sinks import export_chunks
+    """Write the mart as parquet, partitioned by year.
 
+    Each file holds one year, so date filters skip files by their row group statistics
+    even where they do not name the partition column.
+    """
     export_chunks(mart_df, path, grain="year", format="parquet", mode=mode)
