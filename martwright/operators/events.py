@@ -30,10 +30,16 @@ def customer_days(events: DataFrame, order: Sequence[str] = SAME_DAY_ORDER) -> D
     The second window runs backwards in time instead of using an unbounded-following
     frame, which Spark re-evaluates from scratch for every row.
     """
-    position = F.when(is_confirmed(), _position(order))
-    days = events.groupBy(
-        F.col("customer_id").alias("day_customer_id"), F.col("event_date").alias("day_date")
-    ).agg(F.min(position).alias("first_confirmed"), F.max(position).alias("last_confirmed"))
+    # Projected first: the aggregate sorts its input, which then carries no position for
+    # most rows and none of the columns it is made from.
+    placed = events.select(
+        F.col("customer_id").alias("day_customer_id"),
+        F.col("event_date").alias("day_date"),
+        F.when(is_confirmed(), _position(order)).alias("position"),
+    )
+    days = placed.groupBy("day_customer_id", "day_date").agg(
+        F.min("position").alias("first_confirmed"), F.max("position").alias("last_confirmed")
+    )
     invoice_day = F.when(F.col("first_confirmed").isNotNull(), F.col("day_date"))
     customer = Window.partitionBy("day_customer_id")
     before = customer.orderBy(F.col("day_date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)

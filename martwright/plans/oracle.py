@@ -238,8 +238,8 @@ _STATEMENTS = {
           SELECT a.year, CAST(sum(a.amount) AS DOUBLE) AS amount, CAST(sum(b.amount) AS DOUBLE) AS ago
           FROM monthly a JOIN monthly b ON a.month = b.month AND a.year = b.year + 1 GROUP BY 1
         ) SELECT a.year, a.amount / 100 AS revenue, b.amount / 100 AS revenue_year_ago,
-                 a.amount / b.amount - 1 AS growth, m.amount / 100 AS matched_revenue,
-                 m.ago / 100 AS matched_revenue_year_ago, m.amount / m.ago - 1 AS matched_growth
+                 a.amount / nullif(b.amount, 0) - 1 AS growth, m.amount / 100 AS matched_revenue,
+                 m.ago / 100 AS matched_revenue_year_ago, m.amount / nullif(m.ago, 0) - 1 AS matched_growth
           FROM yearly a LEFT JOIN yearly b ON a.year = b.year + 1 LEFT JOIN matched m ON m.year = a.year""",
     "revenue_by_country": f""", yearly AS (
           SELECT country, CAST(year(event_date) AS INTEGER) AS year,
