@@ -102,6 +102,7 @@ def attachment_rate(events: DataFrame, products: DataFrame) -> DataFrame:
     kinds = products.select("product_id", F.col("product_name").contains(ADDON).alias("is_addon"))
     per_customer = (
         events.where(F.col("event_type") == "invoice")
+        .select("product_id", "customer_id", "event_date")
         .join(kinds, "product_id", "left")
         .groupBy(month_start("event_date").alias("year_month"), "customer_id")
         .agg(F.max("is_addon").alias("any_addon"), F.max(~F.col("is_addon")).alias("any_plan"))

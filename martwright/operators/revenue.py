@@ -75,7 +75,9 @@ def revenue_per_customer_by_billing(
     events: DataFrame, products: DataFrame, after: str = "2024-12-31"
 ) -> DataFrame:
     """Confirmed revenue, customers and revenue per customer by billing cycle, after a date."""
-    recent = events.where(F.col("event_date") > F.lit(after).cast("date"))
+    recent = events.where(F.col("event_date") > F.lit(after).cast("date")).select(
+        "product_id", "customer_id", "final_net_revenue_usd"
+    )
     return (
         recent.join(products.select("product_id", "billing_cycle"), "product_id", "left")
         # One row per customer first: the distinct count then needs no second pass.

@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Splits partitions that one key makes oversized, in the joins laid out for it.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording the Python call site of every column expression costs more driver time
+    # than planning does; set it back to true for error messages with call sites.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Sums of money must fail on overflow rather than wrap.
     "spark.sql.ansi.enabled": "true",
 }

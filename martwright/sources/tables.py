@@ -1,6 +1,7 @@
 """The three raw tables and their readers.
 
-Schemas are explicit: no inference pass over the data, and a wrong file fails early.
+Schemas are explicit: no inference pass over the data, and a wrong file fails early
+instead of reading as NULLs or as shifted columns.
 """
 
 from __future__ import annotations
@@ -61,11 +62,14 @@ PRODUCTS = _schema(
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, format: str, **options) -> DataFrame:
-    reader = spark.read.schema(schema)
     if format == "csv":
-        # A CSV header that does not fit the schema must not shift columns silently.
-        reader = reader.options(header=True, enforceSchema=False, mode="FAILFAST")
-    return reader.options(**options).format(format).load(path)
+        options = {"header": True, "enforceSchema": False, "mode": "FAILFAST", **options}
+    else:
+        # Self-describing files fill missing columns with NULL; their footers tell.
+        missing = set(schema.names) - set(spark.read.options(**options).format(format).load(path).columns)
+        if missing:
+            raise ValueError(f"{path} lacks columns {sorted(missing)}")
+    return spark.read.schema(schema).options(**options).format(format).load(path)
 
 
 def read_events(spark: SparkSession, path: str, format: str = "parquet", schema=EVENTS, **options) -> DataFrame:

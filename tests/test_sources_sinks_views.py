@@ -3,6 +3,7 @@ import os
 import pytest
 
 from martwright import sinks
+from martwright.__main__ import main
 from martwright.plans import views
 from martwright.sources import tables, testdata
 
@@ -30,6 +31,36 @@ def test_csv_header_must_fit(spark, make_events, tmp_path):
         tables.read_events(spark, path, format="csv").collect()
 
 
+def test_missing_columns_fail(spark, make_events, tmp_path):
+    path = str(tmp_path / "narrow")
+    make_events(dict()).drop("region").write.parquet(path)
+    with pytest.raises(ValueError, match="region"):
+        tables.read_events(spark, path)
+
+
+def test_job_builds_everything(make_events, make_customers, make_products, rows, spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    products = make_products(dict(), dict(product_name="X Add?on"))
+    events = make_events(dict(), dict(product_id="P2"), dict(event_date="2025-01-01", net_revenue_usd=2.5), dict(customer_id="C7"))
+    for name, df in {"events": events, "customers": make_customers(dict()), "products": products}.items():
+        df.write.parquet(str(raw / name))
+    arguments = [f"--{t}={raw}/{t}" for t in ("events", "customers", "products")]
+    main([*arguments, f"--out={out}"])
+
+    def csv(name):
+        return rows(spark.read.option("header", True).csv(f"{out}/{name}"))
+
+    assert spark.read.parquet(f"{out}/mart").count() == 4
+    assert csv("product_pairs") == [("P1", "Plan", "P2", "X Add-on", "1")]
+    share = csv("reports/repeater_revenue_share")
+    assert share == [("2024-01-01", "30.0", "20.0", "66.67"), ("2025-01-01", "2.5", "2.5", "100.0")]
+    assert csv("reports/revenue_per_customer_by_billing") == [("Annual", "2.5", "1", "2.5")]
+    assert csv("reports/order_invoice_counts")[1] == ("orders_not_proceed", "0")
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        main([*arguments, f"--out={out}"])
+    main([*arguments, f"--out={out}", "--mode=overwrite"])
+
+
 @pytest.mark.parametrize("grain,names", [("year", {"2024", "2025"}), ("quarter", {"2024-Q1", "2024-Q4", "2025-Q1"}), ("month", {"2024-01", "2024-12", "2025-01"})])
 def test_chunks_split_by_period_and_prune(make_events, rows, spark, tmp_path, grain, names):
     events = make_events(dict(), dict(event_date="2024-12-31"), dict(event_date="2025-01-01"))
