@@ -82,6 +82,17 @@ def customers_final(
     )
 
 
+def repeating_customers(customers: DataFrame, events: DataFrame, *attributes: str) -> DataFrame:
+    """Ids and attributes of repeaters: known customers with at least two invoices."""
+    twice = (
+        events.where(F.col("event_type") == "invoice")
+        .groupBy("customer_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n >= 2")
+    )
+    return customers.select("customer_id", *attributes).join(twice, "customer_id", "left_semi")
+
+
 def by_customer(events: DataFrame, keys: Sequence[str], *measures) -> DataFrame:
     """Pre-aggregate events to one row per customer and `keys`, with `two_invoices`.
 
@@ -89,8 +100,9 @@ def by_customer(events: DataFrame, keys: Sequence[str], *measures) -> DataFrame:
     which is what makes a known customer a repeater. Reading it off the same
     aggregate avoids a second pass over the events, and it is why `events` must be all
     events of a customer, not a selection by date. After the (map-side combined)
-    grouping the rows of a customer are bounded by the number of key values, so the
-    window and any later join on the customer are safe for very large customers.
+    grouping the rows of a customer are bounded by the number of key values. The keys
+    must have few values (months, channels): then the window and any later join on the
+    customer are safe for very large customers.
     """
     invoices = F.count(F.when(F.col("event_type") == "invoice", 1)).alias("n_invoices")
     grouped = events.groupBy("customer_id", *keys).agg(invoices, *measures)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions.columns import cents, dollars, month_start, round_half_away
-from martwright.operators.customers import by_customer, flag_repeaters, only_repeaters
+from martwright.functions.joins import splittable_join
+from martwright.operators.customers import by_customer, flag_repeaters, only_repeaters, repeating_customers
 
 SEGMENTS = ("Consumer", "SOHO", "SMB", "Enterprise")
 
@@ -63,15 +64,18 @@ def repeater_revenue_share(events: DataFrame, customers: DataFrame) -> DataFrame
 def repeater_products_by_segment(
     events: DataFrame, customers: DataFrame, segments: Sequence[str] = SEGMENTS
 ) -> DataFrame:
-    """Events of repeaters per product, counted in one column per segment."""
-    bought = by_customer(events, ["product_id"], F.count("product_id").alias("n"))
+    """Events of repeaters per product, counted in one column per segment.
+
+    Products can be as many as a large customer's events, so nothing is grouped per
+    customer: events are joined to the repeaters and then counted, with map-side combine.
+    """
     counts = [
-        F.sum(F.when(F.col("segment") == s, F.col("n")).otherwise(0)).alias(f"products_{s.lower()}_repeater")
+        F.count(F.when(F.col("segment") == s, F.col("product_id"))).alias(f"products_{s.lower()}_repeater")
         for s in segments
     ]
-    return only_repeaters(bought, customers, "segment").groupBy("product_id").agg(*counts).orderBy(
-        F.col("product_id").asc_nulls_last()
-    )
+    buyers = repeating_customers(customers, events, "segment")
+    sold = splittable_join(events.select("customer_id", "product_id"), buyers, "customer_id")
+    return sold.groupBy("product_id").agg(*counts).orderBy(F.col("product_id").asc_nulls_last())
 
 
 def repeater_discount_usage(events: DataFrame, customers: DataFrame) -> DataFrame:

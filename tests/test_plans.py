@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from martwright.operators import baskets, customers, events, reconcile
+from martwright.operators import baskets, customers, events, reconcile, repeaters
 from martwright.operators.clean import with_final_revenue
 from martwright.plans.queries import queries
 
@@ -139,6 +139,16 @@ def test_hot_deal_is_split_in_reconciliation(spark, settings, hot_events):
     assert skewed_joins(final_plan(left)) >= 1
 
 
+def test_hot_customer_is_split_in_repeater_products(hot_events, make_customers, settings):
+    settings(SMALL_SKEW)
+    people = make_customers(*({"customer_id": c} for c in ["HOT", *(f"C{n}" for n in range(5000))]))
+    counted = repeaters.repeater_products_by_segment(hot_events, people)
+    assert skewed_joins(final_plan(counted)) >= 1
+    twice = hot_events.where("event_type = 'invoice'").groupBy("customer_id").count().where("count > 1")
+    expected = hot_events.join(twice, "customer_id", "left_semi").count()
+    assert counted.agg(F.sum("products_smb_repeater")).first()[0] == expected
+
+
 def test_windows_see_one_row_per_customer_and_day(hot_events):
     per_customer = events.customer_days(hot_events).groupBy("day_customer_id").count()
     assert per_customer.agg(F.max("count")).first()[0] <= 300

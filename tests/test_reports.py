@@ -216,3 +216,19 @@ def test_attachment(make_events, make_products, rows):
     assert rows(baskets.attachment_rate(events, products)) == [
         (day("2024-01-01"), 1, 2, 0.5), (day("2024-02-01"), 1, 0, None),
     ]
+
+
+def test_report_order(run):
+    """NULL keys last in ascending order; counts descending."""
+    waits = [r.wait_days for r in run("wait_days_distribution")]
+    assert waits[-1] is None and waits[:-1] == sorted(waits[:-1])
+    for name, column in (
+        ("repeaters_by_sales_channel", "repeaters"), ("repeaters_by_acquisition_channel", "repeaters"),
+        ("repeater_discount_usage", "repeaters_count"), ("invoice_counts_repeat", "invoice_count"),
+    ):
+        counts = [r[column] for r in run(name)]
+        assert counts == sorted(counts, reverse=True)
+    months = [r.year_month for r in run("revenue_monthly")]
+    assert months == sorted(months)
+    cohorts_seen = [(r.signup_year_month, r.months_since_signup) for r in run("retention_calendar")]
+    assert cohorts_seen == sorted(cohorts_seen)
