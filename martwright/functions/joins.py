@@ -13,8 +13,9 @@ def splittable_join(events: DataFrame, table: DataFrame, key: str) -> DataFrame:
     shuffle made for that join. A table that was grouped or joined by the key before is
     partitioned by it already and gets none, which leaves all events of a hot key to one
     task. Null-safe equality hashes the key in another way than grouping does, so here
-    both inputs are shuffled. NULL keys are dropped, as in any equi join.
+    both inputs are shuffled. NULL keys are dropped before it, as in any equi join.
     """
     other = f"__{key}"
+    left = events.where(F.col(key).isNotNull())
     right = table.where(F.col(key).isNotNull()).withColumnRenamed(key, other)
-    return events.join(right, events[key].eqNullSafe(right[other])).drop(other)
+    return left.join(right, left[key].eqNullSafe(right[other])).drop(other)

@@ -70,6 +70,8 @@ def test_chunks_split_by_period_and_prune(make_events, rows, spark, tmp_path, gr
     back = spark.read.parquet(path)
     assert rows(back, *events.columns) == rows(events)
     if grain == "year":
+        first = spark.read.parquet(f"{path}/chunk_year=2024").toPandas()["event_date"]
+        assert list(first) == sorted(first)
         pruned = back.where("chunk_year = 2025")
         assert "PartitionFilters: [isnotnull(chunk_year" in pruned._jdf.queryExecution().toString()
         assert pruned.count() == 1

@@ -1,6 +1,5 @@
 """Invoice timing and second purchases against a row-by-row computation."""
 
-import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
