@@ -114,7 +114,7 @@ def hot_events(spark):
 
 
 def skewed_joins(text):
-    return len(re.findall(r"SortMergeJoin\(skew=true\)", text))
+    return len(re.findall(r"(?:SortMerge|ShuffledHash)Join\(skew=true\)", text))
 
 
 def test_hot_day_is_split_in_event_timing(hot_events, settings):
