@@ -104,7 +104,7 @@ def document_frequency(index: DataFrame, n_terms: int) -> np.ndarray:
     return out
 
 
-def search(index: DataFrame, windows: Windows, slack: int = 10) -> DataFrame:
+def search(index: DataFrame, windows: Windows, slack: int | None = None) -> DataFrame:
     """Words inside an exact occurrence of a window, as packed bits, the items of these
     windows, and the items with a proximity match: all words of a window within `slack`
     words on either side of its rarest one, in any order."""
@@ -121,7 +121,7 @@ def search(index: DataFrame, windows: Windows, slack: int = 10) -> DataFrame:
 
 def _search(part: pd.DataFrame, w: Windows, slack: int) -> pd.DataFrame:
     # All documents of the block on one line of positions, far enough apart.
-    gap = w.width + 2 * slack
+    gap = w.width + 2 * (slack or 0)
     lengths = part["n_words"].to_numpy(np.int64)
     base = np.concatenate([[0], np.cumsum(lengths + gap)]) + gap
     span = np.int64(base[-1] + gap)
@@ -162,6 +162,8 @@ def _search(part: pd.DataFrame, w: Windows, slack: int) -> pd.DataFrame:
                 for s, size in zip(start, w.size[window], strict=True):
                     hit[s : s + size] = True
                 exact.update(zip(which(start).tolist(), w.item[window].tolist(), strict=True))
+                if slack is None:
+                    continue
                 window = w.by_rarest[w.first[term[post]] + number - order[post]]
                 anchor = place[post]
                 for j in range(1, w.width):  # proximity: any posting close by
@@ -205,14 +207,15 @@ def _summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.astype({"row": "Int64", "doc_id": "Int64"})
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack: int = 10, slice_words: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack: int | None = None, slice_words: int = 1_000_000) -> DataFrame:
     """One row per document of `docs` (doc_id, text; other columns are not read): n_words,
     n_hit, n_items, items_sha256, contaminated, items and n_near_items.
 
     An item (item_id, text) of fewer than `width` words, but not none, is one window. Null
     texts have no words. A null doc_id is kept; windows of an item without id hit words but
     name no item. Repeated documents are repeated, repeated items count once. An empty
-    corpus gives no rows, an empty benchmark rows without hits. `slack` is for proximity.
+    corpus gives no rows, an empty benchmark rows without hits. Proximity matches are sought
+    where `slack` is given.
 
     If `docs` has a column `row` that numbers its rows for good, the result carries it;
     without one, a benchmark of several slices has the documents numbered and saved first.
@@ -253,3 +256,14 @@ def _slices(benchmark: DataFrame, slice_words: int) -> Iterator[list[tuple[str |
             part, held, any_yet = [], 0, True
     if part or not any_yet:
         yield part
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """`docs` without those that hold an exact window of the benchmark, columns as they are.
+
+    Documents are numbered in a table on shared storage, so repeated rows and null ids
+    are judged one by one.
+    """
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("own")))
+    found = contamination(rows.select("row", "own.doc_id", "own.text"), benchmark, **settings)
+    return rows.join(found.where("contaminated").select("row"), "row", "left_anti").select("own.*")
