@@ -107,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
             ), hits AS (
               SELECT r, k, p.n, item_id FROM places p JOIN windows USING (n, x)
             ), hit AS (
-              SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS at FROM hits) GROUP BY r
+              SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM hits) GROUP BY r
             ), items AS (
               SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
               FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
