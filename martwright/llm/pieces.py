@@ -290,6 +290,24 @@ def _as_bytes(model: Model, parts: list[str]) -> bytes:
 # --- documents ----------------------------------------------------------------------------
 
 
+class _Words(dict):
+    """Ids of words as bytes: the frequent ones, and up to CACHE of those met meanwhile."""
+
+    def __init__(self, model: Model, known: dict[str, bytes]):
+        super().__init__(known)
+        self.model, self.known, self.most = model, known, len(known) + CACHE
+
+    def __missing__(self, word: str) -> bytes:
+        parts = self.model.cuts.findall(word)
+        ids = b"".join(self.known.get(p) or np.array(encode_word(self.model, p), "<i4").tobytes() for p in parts)
+        if len(self) < self.most:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words_of(text, self.model.prefix))), "<i4")
+
+
 def encode(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None) -> DataFrame:
     """`docs` with `ids`, the array of piece ids of the whole text.
 
@@ -300,20 +318,9 @@ def encode(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, table = held.value
-        cache: dict[str, bytes] = {}
-
-        def lookup(word: str) -> bytes:
-            got = cache.get(word)
-            if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                parts = own.cuts.findall(word)
-                got = cache[word] = b"".join(table.get(p) or np.array(encode_word(own, p), "<i4").tobytes() for p in parts)
-            return got
-
+        words = _Words(*held.value)
         for texts in batches:
-            yield pd.Series([np.frombuffer(b"".join(map(lookup, words_of(t, own.prefix))), "<i4") for t in texts])
+            yield pd.Series([words.encode(t) for t in texts])
 
     return docs.withColumn("ids", ids("text"))
 
@@ -322,7 +329,7 @@ def decode_ids(model: Model, ids: np.ndarray) -> str:
     """The text of ids: pieces in order, byte pieces as bytes, without the leading space
     that encoding puts in front. Control pieces give nothing, unknown ones U+2047 in spaces."""
     table = _bytes_of(model)
-    text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+    text = b"".join(map(table.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
@@ -355,23 +362,28 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
     return encoded.withColumn("decoded", text("ids"))
 
 
-def summarised(encoded: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), n_bytes_pieces (byte pieces)
-    and round_trip (whether decoding gives the text) of documents with `ids`."""
-    held = encoded.sparkSession.sparkContext.broadcast(model)
+SUMMARY = "doc_id long, n_tokens long, ids_sha256 string, n_byte_pieces long, round_trip boolean"
+
+
+def summary(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None) -> DataFrame:
+    """Documents encoded and decoded again: doc_id, n_tokens, ids_sha256 (of the ids,
+    comma-joined), n_byte_pieces and round_trip, whether decoding gives the text. Nulls
+    and empty texts as in `encode`; a null text counts as empty."""
+    held = docs.sparkSession.sparkContext.broadcast((model, frequent(docs, model) if known is None else known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = held.value
+        own, table = held.value
+        words = _Words(own, table)
+        digits = [str(i) for i in range(len(own.names))]
         low, high = (own.byte_ids[0], own.byte_ids[-1]) if own.byte_ids else (-1, -2)
         for batch in batches:
             rows = []
-            for doc_id, text, ids in batch.itertuples(index=False):
-                listed = ",".join(map(str, ids.tolist()))
+            for doc_id, text in batch.itertuples(index=False):
+                ids = words.encode(text)
+                listed = ",".join(map(digits.__getitem__, ids.tolist()))
                 same = decode_ids(own, ids) == (text or "").replace(SPACE, " ")
                 n = int(((ids >= low) & (ids <= high)).sum())
                 rows.append((None if pd.isna(doc_id) else int(doc_id), len(ids), hashlib.sha256(listed.encode()).hexdigest(), n, same))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "n_byte_pieces", "round_trip"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY.split(", ")]).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, n_byte_pieces long, round_trip boolean"
-    return encoded.select(encoded["doc_id"].cast("long"), "text", "ids").mapInPandas(run, schema)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInPandas(run, SUMMARY)

@@ -44,11 +44,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.load()
-    return pieces.summarised(pieces.encode(table(spark, sf_dir, "documents"), model), model)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def of(operator, *names):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def op6(documents: DataFrame) -> DataFrame:
         return language_id.identify(documents, language_id.train(documents))
 
-    def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return _op7(spark, sf_dir)
+    def op7(documents: DataFrame) -> DataFrame:
+        return pieces.summary(documents, pieces.load())
 
     def op8(documents: DataFrame) -> DataFrame:
         return license_scan.scan(documents).drop("spans")
@@ -80,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_array_dedup": of(suffix_dedup.remove_repeats, "documents"),
         "op5_exact_top_k": of(topk.top_k, "embeddings"),
         "op6_language_id": of(op6, "documents"),
-        "op7_sentencepiece": op7,
+        "op7_sentencepiece": of(op7, "documents"),
         "op8_license_scan": of(op8, "documents"),
         "op9_decontamination": of(op9, "documents", "benchmark"),
         "op10_sharding": of(op10, "documents"),
