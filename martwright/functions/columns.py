@@ -39,18 +39,22 @@ def full_months_between(start: Column | str, end: Column | str) -> Column:
     return F.when(end >= start, completed(start, end)).otherwise(-completed(end, start))
 
 
-def cents(amount: Column | str) -> Column:
-    """Money as whole cents (bigint).
+#: Parts of a dollar in which money is added up: six decimals count, further ones are rounded.
+PARTS = 1_000_000
 
-    Sums of cents do not depend on the order in which partitions are added up, so a
+
+def parts(amount: Column | str) -> Column:
+    """Money as whole millionths (bigint).
+
+    Sums of them do not depend on the order in which partitions are added up, so a
     retried task or another partitioning gives the same total.
     """
-    return F.rint(_col(amount) * 100).cast("bigint")
+    return F.rint(_col(amount) * PARTS).cast("bigint")
 
 
-def dollars(total_cents: Column | str) -> Column:
-    """Whole cents back to a double amount."""
-    return _col(total_cents) / F.lit(100)
+def dollars(total_parts: Column | str) -> Column:
+    """Whole millionths back to a double amount."""
+    return _col(total_parts) / F.lit(PARTS)
 
 
 def round_half_away(x: Column | str, digits: int) -> Column:

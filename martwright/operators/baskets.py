@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions.columns import concat_skipping_nulls, month_start
+from martwright.functions.joins import splittable_join
 from martwright.operators.clean import ADDON
 
 
@@ -57,11 +58,9 @@ def product_pairs(baskets: DataFrame, products: DataFrame, block_size: int = 100
     and a large basket is spread over many tasks. Names are joined to the counted pairs.
     """
     items = baskets.where(F.col("product_id").isNotNull()).select("basket_id", "product_id").distinct()
-    sized = (
-        items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("basket_id")))
-        .where("n > 1")
-        .withColumn("blocks", F.ceil(F.col("n") / block_size).cast("int"))
-    )
+    sizes = items.groupBy("basket_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A basket's products never meet in one task: its size is joined back to them.
+    sized = splittable_join(items, sizes, "basket_id").withColumn("blocks", F.ceil(F.col("n") / block_size).cast("int"))
     left = sized.select(
         "basket_id", F.col("product_id").alias("product_a_id"), F.expr("pmod(hash(product_id), blocks)").alias("block")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martwright.functions.columns import cents, round_half_away
+from martwright.functions.columns import PARTS, parts, round_half_away
 
 
 def _stats(df: DataFrame, column: str) -> DataFrame:
@@ -28,18 +28,18 @@ def purchase_cycle_stats(events_final: DataFrame) -> DataFrame:
 
 
 def _repeater_revenue(events: DataFrame, customers_final: DataFrame) -> DataFrame:
-    """Repeaters with their total invoiced revenue in cents."""
+    """Repeaters with their total invoiced revenue in millionths."""
     spent = (
         events.where(F.col("event_type") == "invoice")
         .groupBy("customer_id")
-        .agg(F.sum(cents("final_net_revenue_usd")).alias("cents"))
+        .agg(F.sum(parts("final_net_revenue_usd")).alias("parts"))
     )
     waits = customers_final.where("is_repeater").select("customer_id", "wait_days")
     return waits.join(spent, "customer_id")
 
 
 def _average_dollars() -> Column:
-    return F.sum("cents") / F.count("cents") / 100
+    return F.sum("parts") / F.count("parts") / PARTS
 
 
 def revenue_by_cycle_group(events: DataFrame, customers_final: DataFrame, cycles=(1, 2, 3, 4)) -> DataFrame:

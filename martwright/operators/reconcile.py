@@ -32,11 +32,16 @@ def orders_proceed(events: DataFrame, keys: Sequence[str] = MATCH_KEYS) -> DataF
 
 def _unmatched(events, kept, other, keys, date):
     left = _of_type(events, kept, keys, date)
-    right = events.where(F.col("event_type") == other).select(*keys)
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    # One row per key, combined map side: a key that is hot on the right stays one row. Null-safe
+    # equality hashes keys in another way than the grouping did, so both inputs get a
+    # shuffle of their own and AQE can split a hot key on the left.
+    right = events.where(F.col("event_type") == other).where(whole)
+    right = right.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     # An anti join, not a left join filtered on NULL, which Spark would run as written.
-    # The right side is not deduplicated: a grouping there would take the place of the
-    # join's own shuffle, and AQE could then no longer split a skewed left partition.
-    return left.join(right, list(keys), "left_anti").select(*keys[:2], date, *keys[2:])
+    unmatched = left.where(whole).join(right, same, "left_anti")
+    return unmatched.unionByName(left.where(~whole)).select(*keys[:2], date, *keys[2:])
 
 
 def orders_not_proceed(events: DataFrame, keys: Sequence[str] = MATCH_KEYS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.functions.columns import cents, dollars, month_start
+from martwright.functions.columns import dollars, month_start, parts
 
 
 def refund_counts_monthly(events: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def refund_loss_by_category(events: DataFrame, products: DataFrame) -> DataFrame
     lost = (
         events.where((F.col("event_type") == "invoice") & F.col("is_refunded"))
         .groupBy("product_id", F.year("event_date").cast("int").alias("year"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(cents("net_revenue_usd")).alias("cents"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(parts("net_revenue_usd")).alias("parts"))
     )
     return (
         lost.join(products.select("product_id", "category"), "product_id", "left")
         .groupBy("category", "year")
-        .agg(F.sum("n").alias("refunded_invoices"), dollars(F.sum("cents")).alias("refund_loss_usd"))
+        .agg(F.sum("n").alias("refunded_invoices"), dollars(F.sum("parts")).alias("refund_loss_usd"))
     )

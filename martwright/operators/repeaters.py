@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.functions.columns import cents, dollars, month_start, round_half_away
+from martwright.functions.columns import dollars, month_start, parts, round_half_away
 from martwright.functions.joins import splittable_join
 from martwright.operators.customers import by_customer, flag_repeaters, only_repeaters, repeating_customers
 
@@ -42,7 +42,7 @@ def repeater_revenue_share(events: DataFrame, customers: DataFrame) -> DataFrame
         month_start("event_date").alias("year_month"),
         "final_net_revenue_usd",
     )
-    monthly = by_customer(pooled, ["year_month"], F.sum(cents("final_net_revenue_usd")).alias("revenue"))
+    monthly = by_customer(pooled, ["year_month"], F.sum(parts("final_net_revenue_usd")).alias("revenue"))
     total, repeat = F.col("total"), F.col("repeat")
     return (
         flag_repeaters(monthly, customers)
@@ -85,7 +85,7 @@ def repeater_discount_usage(events: DataFrame, customers: DataFrame) -> DataFram
         only_repeaters(used, customers)
         .groupBy("discount_group")
         .agg(F.sum("n").alias("repeaters_count"))
-        .orderBy(F.col("repeaters_count").desc())
+        .orderBy(F.col("repeaters_count").desc(), F.col("discount_group").asc_nulls_last())
     )
 
 

@@ -1,4 +1,4 @@
-"""Confirmed revenue and prices. Amounts are added up in whole cents."""
+"""Confirmed revenue and prices. Amounts are added up in whole millionths."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martwright.functions.columns import cents, dollars, month_start
+from martwright.functions.columns import PARTS, dollars, month_start, parts
 from martwright.functions.growth import with_year_ago
 
 
 def _revenue() -> Column:
-    return F.sum(cents("final_net_revenue_usd"))
+    return F.sum(parts("final_net_revenue_usd"))
 
 
 def revenue_monthly(events: DataFrame) -> DataFrame:
@@ -82,14 +82,14 @@ def revenue_per_customer_by_billing(
         recent.join(products.select("product_id", "billing_cycle"), "product_id", "left")
         # One row per customer first: the distinct count then needs no second pass.
         .groupBy("billing_cycle", "customer_id")
-        .agg(_revenue().alias("cents"))
+        .agg(_revenue().alias("parts"))
         .groupBy("billing_cycle")
-        .agg(F.sum("cents").alias("cents"), F.count("customer_id").alias("count_customers"))
+        .agg(F.sum("parts").alias("parts"), F.count("customer_id").alias("count_customers"))
         .select(
             "billing_cycle",
-            dollars("cents").alias("revenue"),
+            dollars("parts").alias("revenue"),
             "count_customers",
-            F.try_divide(dollars("cents"), F.col("count_customers")).alias("revenue_per_customer"),
+            F.try_divide(dollars("parts"), F.col("count_customers")).alias("revenue_per_customer"),
         )
     )
 
@@ -113,10 +113,10 @@ def price_by_product_country(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     priced = products.where(F.col("product_name").isin(*names)).select(
-        "product_id", "product_name", cents("base_price_usd").alias("price")
+        "product_id", "product_name", parts("base_price_usd").alias("price")
     )
     price, n = F.col("price"), F.col("n")
-    average = F.try_divide(F.sum(n * price), F.sum(F.when(price.isNotNull(), n))) / 100
+    average = F.try_divide(F.sum(n * price), F.sum(F.when(price.isNotNull(), n))) / PARTS
     return (
         sold.join(priced, "product_id")
         .groupBy("product_name", "country")

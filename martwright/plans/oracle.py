@@ -4,7 +4,7 @@ Each statement derives the raw tables from the provided ones (FIXTURES.md sectio
 states the result plainly, without the Spark-side plan shapes: windows over whole
 customers, left joins filtered on NULL, distinct counts.
 
-Money is added up in whole cents, and ties are broken as in the operators, so results
+Money is added up in whole millionths, and ties are broken as in the operators, so results
 are comparable to the last bit.
 """
 
@@ -56,7 +56,8 @@ WITH customers_raw AS (
          CAST(o_orderdate AS DATE) + 8766 AS event_date,
          CASE WHEN o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'invoice' ELSE 'order' END AS event_type,
          CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS unit_price_local,
-         CAST(floor(l_extendedprice * (1 - l_discount) * 100) AS DOUBLE) / 100 AS net_revenue_usd,
+         CAST(floor(l_extendedprice * (1 - l_discount) * 100) AS DOUBLE) / 100
+           + CASE WHEN l_linenumber % 3 = 0 THEN CAST(0.0037 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS net_revenue_usd,
          l_returnflag = 'R' AS is_refunded,
          CASE WHEN l_discount < 0.03 THEN 'N/A' WHEN l_discount < 0.06 THEN 'WELCOME10'
               WHEN l_discount < 0.09 THEN 'SAVE5' ELSE 'LOYALTY15' END AS discount_code,
@@ -138,12 +139,12 @@ NOT_PROCEED = f"{ORDERS} o LEFT JOIN invoices i ON {SAME_DEAL} WHERE i.event_dat
 NOT_ORDERED = f"invoices i LEFT JOIN {ORDERS} o ON {SAME_DEAL} WHERE o.event_date IS NULL"
 
 
-def _cents(column: str, where: str = "TRUE") -> str:
-    return f"CAST(coalesce(sum(CAST(round({column} * 100) AS BIGINT)) FILTER ({where}), 0) AS BIGINT)"
+def _parts(column: str, where: str = "TRUE") -> str:
+    return f"CAST(coalesce(sum(CAST(round({column} * 1000000) AS BIGINT)) FILTER ({where}), 0) AS BIGINT)"
 
 
 def _usd(column: str, where: str = "TRUE") -> str:
-    return f"CAST({_cents(column, where)} AS DOUBLE) / 100"
+    return f"CAST({_parts(column, where)} AS DOUBLE) / 1000000"
 
 
 def _rounded(x: str, digits: int) -> str:
@@ -180,10 +181,10 @@ def _repeaters_by(key: str, name: str = "repeaters") -> str:
     return f"SELECT {key}, count(DISTINCT customer_id) FILTER (is_repeater) AS {name} FROM mart GROUP BY {key}"
 
 
-SPENT = f"""(SELECT customer_id, {_cents('final_net_revenue_usd')} AS spent FROM mart
+SPENT = f"""(SELECT customer_id, {_parts('final_net_revenue_usd')} AS spent FROM mart
              WHERE event_type = 'invoice' GROUP BY customer_id)"""
 REPEATER_SPENDING = f"customers_timed JOIN {SPENT} s USING (customer_id) WHERE is_repeater"
-AVERAGE_SPENT = "CAST(sum(spent) AS DOUBLE) / count(*) / 100"
+AVERAGE_SPENT = "CAST(sum(spent) AS DOUBLE) / count(*) / 1000000"
 MONTHS = "CAST(date_diff('month', signup_year_month, event_date) AS INTEGER)"
 BASKET_COLUMNS = "basket_id, customer_id, event_date, product_id, product_name"
 
@@ -231,20 +232,20 @@ _STATEMENTS = {
     "revenue_monthly": f"SELECT year_month, {_usd('final_net_revenue_usd')} AS revenues_monthly FROM events GROUP BY 1",
     "revenue_vs_year_ago": f""", monthly AS (
           SELECT CAST(year(event_date) AS INTEGER) AS year, month(event_date) AS month,
-                 {_cents('final_net_revenue_usd')} AS amount FROM events GROUP BY 1, 2
+                 {_parts('final_net_revenue_usd')} AS amount FROM events GROUP BY 1, 2
         ), yearly AS (
           SELECT year, CAST(sum(amount) AS DOUBLE) AS amount FROM monthly GROUP BY 1
         ), matched AS (
           SELECT a.year, CAST(sum(a.amount) AS DOUBLE) AS amount, CAST(sum(b.amount) AS DOUBLE) AS ago
           FROM monthly a JOIN monthly b ON a.month = b.month AND a.year = b.year + 1 GROUP BY 1
-        ) SELECT a.year, a.amount / 100 AS revenue, b.amount / 100 AS revenue_year_ago,
-                 a.amount / nullif(b.amount, 0) - 1 AS growth, m.amount / 100 AS matched_revenue,
-                 m.ago / 100 AS matched_revenue_year_ago, m.amount / nullif(m.ago, 0) - 1 AS matched_growth
+        ) SELECT a.year, a.amount / 1000000 AS revenue, b.amount / 1000000 AS revenue_year_ago,
+                 a.amount / nullif(b.amount, 0) - 1 AS growth, m.amount / 1000000 AS matched_revenue,
+                 m.ago / 1000000 AS matched_revenue_year_ago, m.amount / nullif(m.ago, 0) - 1 AS matched_growth
           FROM yearly a LEFT JOIN yearly b ON a.year = b.year + 1 LEFT JOIN matched m ON m.year = a.year""",
     "revenue_by_country": f""", yearly AS (
           SELECT country, CAST(year(event_date) AS INTEGER) AS year,
-                 CAST({_cents('final_net_revenue_usd')} AS DOUBLE) AS amount FROM events GROUP BY 1, 2
-        ) SELECT a.country, a.year, a.amount / 100 AS revenue, b.amount / 100 AS revenue_year_ago,
+                 CAST({_parts('final_net_revenue_usd')} AS DOUBLE) AS amount FROM events GROUP BY 1, 2
+        ) SELECT a.country, a.year, a.amount / 1000000 AS revenue, b.amount / 1000000 AS revenue_year_ago,
                  a.amount / nullif(b.amount, 0) - 1 AS growth
           FROM yearly a LEFT JOIN yearly b
             ON a.country IS NOT DISTINCT FROM b.country AND a.year = b.year + 1""",
@@ -253,7 +254,7 @@ _STATEMENTS = {
         {_usd('final_net_revenue_usd')} / count(DISTINCT customer_id) AS revenue_per_customer
         FROM mart WHERE event_date > DATE '2024-12-31' GROUP BY 1""",
     "price_by_product_country": f"""SELECT product_name, country,
-        CAST({_cents('base_price_usd')} AS DOUBLE) / count(*) / 100 AS average_price
+        CAST({_parts('base_price_usd')} AS DOUBLE) / count(*) / 1000000 AS average_price
         FROM mart WHERE country IN ('United States', 'United Kingdom', 'Canada') AND product_name IN
         ('Azure AI Studio Annual Standard', 'Notion AI Annual', 'Figma Professional Monthly')
         GROUP BY 1, 2 ORDER BY product_name, average_price DESC, country LIMIT 10""",
@@ -268,8 +269,8 @@ _STATEMENTS = {
     "repeater_revenue_share": f"""SELECT year_month, {_usd('final_net_revenue_usd')} AS total_revenue,
         {_usd('final_net_revenue_usd', 'is_repeater')} AS revenue_repeater,
         {_rounded(
-            f"{_cents('final_net_revenue_usd', 'is_repeater')} * CAST(100 AS DOUBLE)"
-            f" / nullif({_cents('final_net_revenue_usd')}, 0)", 2)} AS pct_revenue_repeater
+            f"{_parts('final_net_revenue_usd', 'is_repeater')} * CAST(100 AS DOUBLE)"
+            f" / nullif({_parts('final_net_revenue_usd')}, 0)", 2)} AS pct_revenue_repeater
         FROM mart GROUP BY 1""",
     "repeater_products_by_segment": "SELECT product_id, "
     + ", ".join(

@@ -12,9 +12,10 @@ SETTINGS = {
     # Splits partitions that one key makes oversized, in the joins laid out for it.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Hash join instead of sort-merge where AQE has measured every partition of the build
-    # side to be small. The sides joined to events have one row per key, so a hot key
-    # does not make them large, and the wide events need no sort.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # side to be small. Most build sides have one row per key; where keys repeat (pairs,
+    # order matching) the measured size counts them all. The threshold is compressed map
+    # output, of which the hash table takes several times, once per running task.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m",
     # Recording the Python call site of every column expression costs more driver time
     # than planning does; set it back to true for error messages with call sites.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

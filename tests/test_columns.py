@@ -36,9 +36,9 @@ def test_round_half_away(spark, x, digits, want):
     assert one(spark, c.round_half_away(F.lit(x), digits)) == want
 
 
-@pytest.mark.parametrize("amount,want", [(0.29, 29), (1.15, 115), (-3.33, -333), (1e9 + 0.01, 100000000001), (None, None)])
-def test_cents(spark, amount, want):
-    assert one(spark, c.cents(F.lit(amount).cast("double"))) == want
+@pytest.mark.parametrize("amount,want", [(0.29, 290000), (0.004, 4000), (-3.33, -3330000), (1e9 + 0.01, 1000000000010000), (None, None)])
+def test_parts(spark, amount, want):
+    assert one(spark, c.parts(F.lit(amount).cast("double"))) == want
 
 
 def test_concat_skips_nulls(spark):

@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from martwright.plans import oracle
+from martwright.plans import queries as registered
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = registered.queries()
+ORACLES = oracle.oracle_sql()
 TYPES = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date",
 }

@@ -49,3 +49,10 @@ def test_orders_split_into_matched_and_unmatched(spark, sf_dir):
     )
     unmatched = reconcile.orders_not_proceed(events)
     assert matched.count() + unmatched.count() == events.where("event_type = 'order'").count()
+
+
+def test_small_amounts_are_not_lost(spark):
+    from martwright.operators import revenue
+
+    events = spark.range(1000).selectExpr("date '2024-01-01' AS event_date", "0.004D AS final_net_revenue_usd")
+    assert revenue.revenue_monthly(events).first()["revenues_monthly"] == 4.0
