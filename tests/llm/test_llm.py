@@ -300,3 +300,18 @@ def test_pipeline_and_queries(spark):
         assert after.columns == docs.columns and 0 < after.count() <= docs.count()
     assert corpus_pipeline.run(spark, d).where("n_tokens <> size(ids)").count() == 0
     assert {n.split("_")[0] for n in queries()} == {f"op{n}" for n in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", ["op5_exact_top_k", "op9_decontamination"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from martwright.llm.queries import oracle_sql
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    df = queries()[name](spark, d)
+    columns = ", ".join(sorted(df.columns))
+    want = con.execute(f"SELECT {columns} FROM ({oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == sorted(want)
