@@ -249,7 +249,7 @@ def test_viterbi_fold_finds_the_best_path(spark):
 def test_licenses(spark):
     texts = ["Licensed under the Apache License, Version 2.0. All rights reserved. CC-BY cc by", "xcc by", None, "General public\nlicense"]
     rows = {r.doc_id: r for r in license_scan.scan(documents(spark, texts)).collect()}
-    assert (rows[0].n_base, rows[0].first_word, rows[0].last_word, rows[0].base_labels) == (3, 7, 12, "cc-by,reserved")
+    assert (rows[0].n_base, rows[0].first_word, rows[0].last_word, rows[0].base_labels) == (3, 8, 13, "cc-by,reserved")
     assert "apache-2.0" in rows[0].labels.split(",") and len(license_scan.rules()) > 200
     assert (rows[1].n_base, rows[1].first_word, rows[1].labels, rows[1].score) == (0, None, "", 0.0)
     assert rows[2].n_words == 0 and rows[3].base_labels == "gpl"
