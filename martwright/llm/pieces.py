@@ -34,6 +34,8 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 100_000  # words that a task remembers
 COUNTED = 3000  # texts whose words are counted before the counts leave a task
+#: Tasks that build and fold the lattice of the frequent words, at most 200,000 of them.
+WORD_PARTS = 64
 
 
 @dataclass
@@ -216,8 +218,9 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, edges): every substring of up to `longest` characters that is a piece, as
     (s, e, score, id), by where it starts and ends. Words without an edge are left out."""
     # Words are dealt once, and what is made of a word stays where it is; the table of
-    # pieces is as large as the vocabulary and no more.
-    starts = words.where("word <> ''").repartition("word").select("word", F.explode(F.expr("sequence(1, char_length(word))")).alias("i"))
+    # pieces is as large as the vocabulary and no more. The number is given, since words
+    # are small and folding them is not: by size alone they would all go to one task.
+    starts = words.where("word <> ''").repartition(WORD_PARTS, "word").select("word", F.explode(F.expr("sequence(1, char_length(word))")).alias("i"))
     ends = starts.select("word", "i", F.explode(F.expr(f"sequence(1, least({longest}, char_length(word) - i + 1))")).alias("l"))
     substrings = ends.select("word", "i", "l", F.expr("substr(word, i, l)").alias("piece"))
     edge = F.struct((F.col("i") - 1).alias("s"), (F.col("i") - 1 + F.col("l")).alias("e"), "score", "id")
