@@ -2,14 +2,17 @@
 
     spark-submit ... -m martwright --events E --customers C --products P --out DIR
 
-Writes under DIR: `mart/` (parquet by year), `customers_final/` (parquet),
-`mart_csv/` (CSV by year), `product_pairs/` and `reports/<name>/` (CSV).
+Writes under DIR: `mart/` (parquet by year), `customers_final/` and `customer_days/` (parquet),
+`mart_csv/` (CSV by year), `product_pairs/` and `reports/<name>/` (CSV), and the event-sized
+results `orders_proceed/`, `orders_not_proceed/`, `invoices_not_orders/`, `events_baskets/`
+and `events_baskets_min2/` (parquet).
 """
 
 from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -27,6 +30,7 @@ from martwright.operators import (
     repeaters,
     revenue,
 )
+from martwright.operators.events import customer_days
 from martwright.plans.views import write_mart
 from martwright.session import builder
 from martwright.sources import tables
@@ -36,8 +40,10 @@ def reports(sold: DataFrame, people: DataFrame, goods: DataFrame) -> dict[str, C
     """Reports by name, from the mart, customers_final and products_final."""
     return {
         "event_id_summary": lambda: quality.event_id_summary(sold),
+        "duplicate_event_ids": lambda: quality.duplicate_event_ids(sold),
         "refund_violations": lambda: quality.refund_violations(sold),
         "orphan_keys": lambda: quality.orphan_keys(sold, people, goods),
+        "invoices_before_signup": lambda: quality.invoices_before_signup(sold, people),
         "export_chunks": lambda: mart.chunk_counts(sold),
         "order_invoice_counts": lambda: reconcile.order_invoice_counts(sold),
         "refund_counts_monthly": lambda: refunds.refund_counts_monthly(sold),
@@ -47,6 +53,7 @@ def reports(sold: DataFrame, people: DataFrame, goods: DataFrame) -> dict[str, C
         "revenue_by_country": lambda: revenue.revenue_by_country(sold),
         "revenue_per_customer_by_billing": lambda: revenue.revenue_per_customer_by_billing(sold, goods),
         "price_by_product_country": lambda: revenue.price_by_product_country(sold, goods),
+        "invoice_counts_repeat": lambda: repeaters.invoice_counts_repeat(sold),
         "repeaters_by_month": lambda: repeaters.repeaters_by(sold, people, "year_month", name="repeater"),
         "repeaters_by_acquisition_channel": lambda: repeaters.repeaters_by(
             sold.drop("acquisition_channel"), people, "acquisition_channel"
@@ -55,6 +62,7 @@ def reports(sold: DataFrame, people: DataFrame, goods: DataFrame) -> dict[str, C
         "repeater_revenue_share": lambda: repeaters.repeater_revenue_share(sold, people),
         "repeater_products_by_segment": lambda: repeaters.repeater_products_by_segment(sold, people),
         "repeater_discount_usage": lambda: repeaters.repeater_discount_usage(sold, people),
+        "second_purchase_gap": lambda: customers.second_purchase_gap(sold),
         "second_purchase_stats": lambda: cycles.second_purchase_stats(people),
         "purchase_cycle_stats": lambda: cycles.purchase_cycle_stats(sold),
         "revenue_by_cycle_group": lambda: cycles.revenue_by_cycle_group(sold, people),
@@ -65,6 +73,33 @@ def reports(sold: DataFrame, people: DataFrame, goods: DataFrame) -> dict[str, C
     }
 
 
+def raw_reports(
+    events_raw: DataFrame, customers_raw: DataFrame, products_raw: DataFrame
+) -> dict[str, Callable[[], DataFrame]]:
+    """Reports by name on the tables as given."""
+    raw = {"events_raw": events_raw, "customers_raw": customers_raw, "products_raw": products_raw}
+    return {
+        "blank_profile": lambda: reduce(
+            DataFrame.unionByName, [quality.blank_profile(df, name) for name, df in raw.items()]
+        ),
+        "foreign_font_values": lambda: quality.foreign_font_values(products_raw),
+        "dimension_keys": lambda: quality.dimension_keys(customers_raw, "customers_raw", "customer_id").unionByName(
+            quality.dimension_keys(products_raw, "products_raw", "product_id")
+        ),
+    }
+
+
+def large_results(sold: DataFrame, goods: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """Results with a row per event, match or basket row, by name."""
+    return {
+        "orders_proceed": lambda: reconcile.orders_proceed(sold),
+        "orders_not_proceed": lambda: reconcile.orders_not_proceed(sold),
+        "invoices_not_orders": lambda: reconcile.invoices_not_orders(sold),
+        "events_baskets": lambda: baskets.events_baskets(sold, goods),
+        "events_baskets_min2": lambda: baskets.events_baskets_min2(baskets.events_baskets(sold, goods)),
+    }
+
+
 def build(
     events_raw: DataFrame, customers_raw: DataFrame, products_raw: DataFrame, out: str, mode: str = "errorifexists"
 ) -> None:
@@ -78,7 +113,9 @@ def build(
     final.write.mode(mode).parquet(f"{out}/customers_final")
     people = spark.read.schema(final.schema).parquet(f"{out}/customers_final")
 
-    joined = mart.combined(events, people, goods)
+    days = customer_days(events)
+    days.write.mode(mode).parquet(f"{out}/customer_days")
+    joined = mart.combined(events, people, goods, days=spark.read.schema(days.schema).parquet(f"{out}/customer_days"))
     write_mart(joined, f"{out}/mart", mode)
     sold = spark.read.schema(joined.schema).parquet(f"{out}/mart").select(*joined.columns)
 
@@ -86,7 +123,10 @@ def build(
     sinks.export_product_pairs(
         baskets.product_pairs(baskets.basket_rows(sold), goods), f"{out}/product_pairs", mode
     )
-    for name, report in reports(sold, people, goods).items():
+    for name, result in large_results(sold, goods).items():
+        result().write.mode(mode).parquet(f"{out}/{name}")
+    every_report = reports(sold, people, goods) | raw_reports(events_raw, customers_raw, products_raw)
+    for name, report in every_report.items():
         sinks.write_csv(report(), f"{out}/reports/{name}", mode)
 
 

@@ -35,6 +35,7 @@ def combined(
     products: DataFrame,
     columns: Sequence[str] | None = None,
     days: DataFrame | None = None,
+    unique_keys: bool = False,
 ) -> DataFrame:
     """events_clean joined with customers_final and products_final, one row per event.
 
@@ -43,10 +44,10 @@ def combined(
     and the events are then shuffled once, by customer and day, for timing and
     attributes together.
 
-    `columns` restricts the output and leaves out the joins it does not need. Customer
-    and product ids are unique in their tables, so a left join to them neither adds nor
-    drops events; Spark cannot know that and would run the unused joins. `days` is as for
-    `events_final`.
+    `columns` restricts the output. With `unique_keys`, the caller's word that no customer
+    or product id repeats in its table (`quality.dimension_keys` tells), joins that the
+    columns do not need are left out: they neither add nor drop events then, which Spark
+    cannot know. `days` is as for `events_final`.
     """
     customer_side = ["customer_id_c", *CUSTOMER_COLUMNS]
     product_side = ["product_id_p", *PRODUCT_COLUMNS[1:]]
@@ -57,13 +58,14 @@ def combined(
         raise ValueError(f"columns not in the mart: {sorted(unknown)}")
 
     mart = events
-    if set(wanted) & {*TIMING_COLUMNS, *customer_side}:
+    needed = set(wanted) if unique_keys else set(everything)
+    if needed & {*TIMING_COLUMNS, *customer_side}:
         days = customer_days(events) if days is None else days
-        if set(wanted) & set(customer_side):
+        if needed & set(customer_side):
             attributes = customers.select(F.col("customer_id").alias("customer_id_c"), *CUSTOMER_COLUMNS)
             days = days.join(attributes, F.col("day_customer_id") == F.col("customer_id_c"), "left")
         mart = attach_days(events, days)
-    if set(wanted) & set(product_side):
+    if needed & set(product_side):
         catalog = products.select(F.col("product_id").alias("product_id_p"), *PRODUCT_COLUMNS[1:])
         mart = mart.join(catalog, F.col("product_id") == F.col("product_id_p"), "left")
     return mart.select(*wanted)

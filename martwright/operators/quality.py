@@ -67,6 +67,21 @@ def orphan_keys(events: DataFrame, customers: DataFrame, products: DataFrame) ->
     )
 
 
+def dimension_keys(dimension: DataFrame, table: str, key: str) -> DataFrame:
+    """One row: rows of a dimension table, distinct keys, keys used more than once.
+
+    A repeated key makes the mart repeat events; a NULL key counts as a key only when repeated.
+    """
+    per_key = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.agg(
+        F.lit(table).alias("table_name"),
+        F.lit(key).alias("key_column"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.count(key).alias("distinct_keys"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("repeated_keys"),
+    )
+
+
 def blank_profile(df: DataFrame, table: str) -> DataFrame:
     """Rows that are NULL, or empty for text, per column: one aggregate over the table."""
 

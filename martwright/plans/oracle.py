@@ -10,6 +10,8 @@ are comparable to the last bit.
 
 from __future__ import annotations
 
+import re
+
 from martwright.operators.clean import PRODUCT_COLUMNS
 from martwright.sources.tables import CUSTOMERS, EVENTS, PRODUCTS
 
@@ -30,7 +32,6 @@ WITH customers_raw AS (
          CAST(n_nationkey * 3 - 30 AS DOUBLE) AS country_latitude_customers,
          CAST(n_nationkey * 7 - 80 AS DOUBLE) AS country_longitude_customers
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE c_custkey % 97 <> 5
 ), products_raw AS (
   SELECT p_partkey AS product_id,
          CASE WHEN p_partkey % 50 = 0 THEN 'Azure AI Studio Annual Standard'
@@ -48,11 +49,13 @@ WITH customers_raw AS (
          concat(p_brand, ' ', p_type) AS brand_safe_name, p_name AS product_name_orig,
          p_retailprice AS base_price_usd_orig, concat('K-', p_brand) AS base_key,
          concat('v', CAST(p_size % 5 AS VARCHAR(9))) AS product_version
-  FROM part WHERE p_partkey % 89 <> 3
+  FROM part
 ), base AS (
-  SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20)),
-                   CAST(l_partkey AS VARCHAR(20)), CAST(l_suppkey AS VARCHAR(20))) AS event_id,
-         o_custkey AS customer_id, l_partkey AS product_id,
+  SELECT CASE WHEN l_orderkey % 50 = 7 AND l_linenumber <= 2 THEN concat(CAST(l_orderkey AS VARCHAR(20)), '-0')
+              ELSE concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20)),
+                             CAST(l_partkey AS VARCHAR(20)), CAST(l_suppkey AS VARCHAR(20))) END AS event_id,
+         CASE WHEN l_orderkey % 97 = 5 THEN o_custkey + 1000000000 ELSE o_custkey END AS customer_id,
+         CASE WHEN l_orderkey % 89 = 3 THEN l_partkey + 1000000000 ELSE l_partkey END AS product_id,
          CAST(o_orderdate AS DATE) + 8766 AS event_date,
          CASE WHEN o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'invoice' ELSE 'order' END AS event_type,
          CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS unit_price_local,
@@ -63,14 +66,22 @@ WITH customers_raw AS (
               WHEN l_discount < 0.09 THEN 'SAVE5' ELSE 'LOYALTY15' END AS discount_code,
          CASE l_suppkey % 5 WHEN 0 THEN 'Website' WHEN 1 THEN 'Direct Sales' WHEN 2 THEN 'Reseller'
               WHEN 3 THEN 'Partner' ELSE 'Marketplace' END AS channel,
-         l_linenumber AS n
+         l_linenumber AS n, l_orderkey AS order_key
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), events0 AS (
   SELECT * FROM base
   UNION ALL
   SELECT concat(event_id, '-inv'), customer_id, product_id, event_date + (n * 5 - 10), 'invoice',
-         quantity, unit_price_local, net_revenue_usd, is_refunded, discount_code, channel, n
+         quantity, unit_price_local, net_revenue_usd, is_refunded, discount_code, channel, n, order_key
   FROM base WHERE event_type = 'order' AND product_id % 200 = 7
+  UNION ALL
+  SELECT concat(event_id, '-first'), customer_id, product_id, event_date - 2600, 'invoice',
+         quantity, unit_price_local, net_revenue_usd, FALSE, discount_code, channel, n, order_key
+  FROM base WHERE n = 1 AND order_key % 60 = 11
+  UNION ALL
+  SELECT concat(event_id, '-second'), customer_id, product_id, event_date - 2600 + CAST(customer_id % 4 + 1 AS INTEGER), 'invoice',
+         quantity, unit_price_local, net_revenue_usd, TRUE, discount_code, channel, n, order_key
+  FROM base WHERE n = 1 AND order_key % 60 = 11
 ), events_raw AS (
   SELECT e.event_id, e.customer_id, e.product_id, e.event_date, e.event_type, e.quantity, e.unit_price_local,
          e.net_revenue_usd, e.is_refunded, e.discount_code, e.channel, c.region_customers AS region, c.country_customers AS country
@@ -177,6 +188,14 @@ def _orphans(table: str, key: str) -> str:
     )
 
 
+def _key_counts(table: str, key: str) -> str:
+    return (
+        f"SELECT '{table}' AS table_name, '{key}' AS key_column, count(*) AS total_rows, "
+        f"count(DISTINCT {key}) AS distinct_keys, (SELECT count(*) FROM "
+        f"(SELECT {key} FROM {table} GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys FROM {table}"
+    )
+
+
 def _repeaters_by(key: str, name: str = "repeaters") -> str:
     return f"SELECT {key}, count(DISTINCT customer_id) FILTER (is_repeater) AS {name} FROM mart GROUP BY {key}"
 
@@ -201,6 +220,7 @@ _STATEMENTS = {
         count(*) FILTER ((is_refunded OR event_type = 'order') AND final_net_revenue_usd <> 0) AS violations
         FROM events GROUP BY 1""",
     "orphan_keys": _orphans("customers_raw", "customer_id") + " UNION ALL " + _orphans("products_raw", "product_id"),
+    "dimension_keys": _key_counts("customers_raw", "customer_id") + " UNION ALL " + _key_counts("products_raw", "product_id"),
     "blank_profile": " UNION ALL ".join(
         _blanks(t, s) for t, s in (("events_raw", EVENTS), ("customers_raw", CUSTOMERS), ("products_raw", PRODUCTS))
     ),
@@ -322,5 +342,22 @@ _STATEMENTS = {
 }
 
 
+def _tables() -> dict[str, str]:
+    """The bodies of RAW and CLEAN by name; later ones read earlier ones only."""
+    _, *found = re.split(r"(?:WITH |\)\s*, )(\w+) AS \(\n", (RAW + CLEAN).rstrip().removesuffix(")"))
+    return dict(zip(found[::2], found[1::2], strict=True))
+
+
+def _complete(statement: str, tables: dict[str, str]) -> str:
+    """`statement` behind the tables it needs, and no others."""
+    needed, text = [], statement
+    for name, body in reversed(tables.items()):
+        if re.search(rf"\b{name}\b", text):
+            needed.insert(0, f"{name} AS (\n{body})")
+            text += body
+    return f"WITH {', '.join(needed)}\n{statement}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{RAW}{CLEAN}{statement}" for name, statement in _STATEMENTS.items()}
+    tables = _tables()
+    return {name: _complete(statement, tables) for name, statement in _STATEMENTS.items()}

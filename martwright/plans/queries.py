@@ -82,8 +82,16 @@ def _blank_profile(t: Inputs) -> DataFrame:
     return reduce(DataFrame.unionByName, profiles)
 
 
+def _dimension_keys(t: Inputs) -> DataFrame:
+    return quality.dimension_keys(t.customers_raw, "customers_raw", "customer_id").unionByName(
+        quality.dimension_keys(t.products_raw, "products_raw", "product_id")
+    )
+
+
 def _chunk_counts(t: Inputs) -> DataFrame:
-    return mart.chunk_counts(mart.combined(t.sales, t.customers_final, t.products, columns=["event_date"]))
+    # Both keys are primary keys of the provided tables; `dimension_keys` shows it.
+    sold = mart.combined(t.sales, t.customers_final, t.products, columns=["event_date"], unique_keys=True)
+    return mart.chunk_counts(sold)
 
 
 BASKET_ORDER = ("basket_id", "product_id")
@@ -97,6 +105,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "refund_audit": lambda t: quality.refund_audit(t.revenue),
     "refund_violations": lambda t: quality.refund_violations(t.revenue),
     "orphan_keys": lambda t: quality.orphan_keys(t.sales, t.customers_raw, t.products_raw),
+    "dimension_keys": _dimension_keys,
     "blank_profile": _blank_profile,
     "foreign_font_values": lambda t: quality.foreign_font_values(t.products_raw),
     "invoices_before_signup": lambda t: quality.invoices_before_signup(t.sales, t.customers_raw),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from martwright.operators.clean import rename_geography
+
 
 def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
@@ -61,10 +63,13 @@ PRODUCTS = _schema(
 )
 
 
+def _options(format: str, options: dict) -> dict:
+    return {"header": True, "enforceSchema": False, "mode": "FAILFAST", **options} if format == "csv" else options
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType, format: str, **options) -> DataFrame:
-    if format == "csv":
-        options = {"header": True, "enforceSchema": False, "mode": "FAILFAST", **options}
-    else:
+    options = _options(format, options)
+    if format != "csv":
         # Self-describing files fill missing columns with NULL; their footers tell.
         missing = set(schema.names) - set(spark.read.options(**options).format(format).load(path).columns)
         if missing:
@@ -78,8 +83,26 @@ def read_events(spark: SparkSession, path: str, format: str = "parquet", schema=
 
 
 def read_customers(spark: SparkSession, path: str, format: str = "parquet", schema=CUSTOMERS, **options) -> DataFrame:
-    """customers_raw: one row per customer."""
-    return _read(spark, path, schema, format, **options)
+    """customers_raw: one row per customer.
+
+    The table may be as imported: `region` and `country` without their suffix, and
+    `signup_date` as a date, a timestamp or a text that begins with an ISO date.
+    """
+    found = spark.read.options(**_options(format, options)).format(format).load(path).schema
+    plain = {f"{c}_customers": c for c in ("region", "country") if c in found.names}
+    given = T.StructType(
+        [
+            T.StructField(
+                plain.get(f.name, f.name) if f.name not in found.names else f.name,
+                found[f.name].dataType if f.name == "signup_date" and f.name in found.names else f.dataType,
+            )
+            for f in schema
+        ]
+    )
+    if format == "csv":  # columns are read in the file's order
+        given = T.StructType(sorted(given, key=lambda f: found.names.index(f.name) if f.name in found.names else -1))
+    read = rename_geography(_read(spark, path, given, format, **options))
+    return read.select(*[read[f.name].cast(f.dataType) if f.name == "signup_date" else read[f.name] for f in schema])
 
 
 def read_products(spark: SparkSession, path: str, format: str = "parquet", schema=PRODUCTS, **options) -> DataFrame:

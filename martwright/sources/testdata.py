@@ -16,6 +16,8 @@ ACQUISITION_CHANNELS = {0: "Organic", 1: "Paid Search", 2: "Social", 3: "Email",
 SALES_CHANNELS = {0: "Website", 1: "Direct Sales", 2: "Reseller", 3: "Partner"}
 NAMED_PRODUCTS = {0: "Azure AI Studio Annual Standard", 1: "Notion AI Annual", 2: "Figma Professional Monthly"}
 DAYS_FORWARD = 8766
+UNKNOWN = 1_000_000_000  # added to an id, gives one that no table has
+FIRST_SALES_EARLIER = 2600  # days, before any other event
 
 # The columns read from the provided tables.
 SCHEMAS = {
@@ -37,12 +39,16 @@ def _pick(key: Column, values: dict, default: Column | str) -> Column:
     return picked.otherwise(default)
 
 
+def _with_unknown(key: str, unknown: Column) -> Column:
+    return F.when(unknown, F.col(key) + UNKNOWN).otherwise(F.col(key))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = _table(spark, sf_dir, "customer").where("c_custkey % 97 <> 5")
+    customer = _table(spark, sf_dir, "customer")
     nation = _table(spark, sf_dir, "nation")
     region = _table(spark, sf_dir, "region")
     key, home = F.col("c_custkey"), F.col("n_nationkey")
@@ -75,39 +81,39 @@ def products_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 11 == 4, F.concat(name, F.lit(" Add–on")))
         .otherwise(name)
     )
-    return (
-        _table(spark, sf_dir, "part")
-        .where("p_partkey % 89 <> 3")
-        .select(
-            key.alias("product_id"),
-            _pick(key % 50, NAMED_PRODUCTS, plain_or_addon).alias("product_name"),
-            F.col("p_type").alias("category"),
-            _pick(size % 3, {0: "Annual", 1: "Monthly"}, "One-time").alias("billing_cycle"),
-            (size % 3 != 2).alias("is_subscription"),
-            F.col("p_retailprice").alias("base_price_usd"),
-            F.col("p_brand").alias("vendor"),
-            F.date_add(F.lit("2015-01-01").cast("date"), size * 30).alias("first_release_date"),
-            F.when(key % 2 == 0, "Direct").otherwise("Resale").alias("resale_model"),
-            F.concat("p_brand", F.lit(" "), "p_type").alias("brand_safe_name"),
-            name.alias("product_name_orig"),
-            F.col("p_retailprice").alias("base_price_usd_orig"),
-            F.concat(F.lit("K-"), "p_brand").alias("base_key"),
-            F.concat(F.lit("v"), (size % 5).cast("string")).alias("product_version"),
-        )
+    return _table(spark, sf_dir, "part").select(
+        key.alias("product_id"),
+        _pick(key % 50, NAMED_PRODUCTS, plain_or_addon).alias("product_name"),
+        F.col("p_type").alias("category"),
+        _pick(size % 3, {0: "Annual", 1: "Monthly"}, "One-time").alias("billing_cycle"),
+        (size % 3 != 2).alias("is_subscription"),
+        F.col("p_retailprice").alias("base_price_usd"),
+        F.col("p_brand").alias("vendor"),
+        F.date_add(F.lit("2015-01-01").cast("date"), size * 30).alias("first_release_date"),
+        F.when(key % 2 == 0, "Direct").otherwise("Resale").alias("resale_model"),
+        F.concat("p_brand", F.lit(" "), "p_type").alias("brand_safe_name"),
+        name.alias("product_name_orig"),
+        F.col("p_retailprice").alias("base_price_usd_orig"),
+        F.concat(F.lit("K-"), "p_brand").alias("base_key"),
+        F.concat(F.lit("v"), (size % 5).cast("string")).alias("product_version"),
     )
 
 
 def events_raw(spark: SparkSession, sf_dir: str, geography: bool = True) -> DataFrame:
-    """One event per line item, plus an invoice twin for some orders.
+    """One event per line item, plus an invoice twin for some orders and a first and a
+    refunded second sale, 1 to 4 days later, for some customers.
+
+    Some orders and lines name a customer or product that no table has, and some lines
+    of one order share their event id.
 
     `region` and `country` come from the customer. A left join cannot be pruned when
     its columns go unused, so queries that do not read them pass `geography=False`.
-    The twins are exploded from their order line: a union would read and join the
-    order tables twice.
+    The additional events are exploded from their order line: a union would read and
+    join the order tables again.
     """
     orders = _table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        F.col("o_custkey").alias("customer_id"),
+        _with_unknown("o_custkey", F.col("o_orderkey") % 97 == 5).alias("customer_id"),
         F.date_add(F.col("o_orderdate").cast("date"), DAYS_FORWARD).alias("order_date"),
         ((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("invoiced"),
     )
@@ -119,29 +125,31 @@ def events_raw(spark: SparkSession, sf_dir: str, geography: bool = True) -> Data
         orders = orders.join(home, "customer_id", "left")
         place = ["region", "country"]
     price, discount = F.col("l_extendedprice"), F.col("l_discount")
-    twin = F.col("twin") == 1
-    line_id = F.concat_ws(
-        "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    key, number, kind = F.col("l_orderkey"), F.col("l_linenumber"), F.col("kind")
+    twin, sale, refund = kind == 1, kind == 2, kind == 3
+    line_id = F.when((key % 50 == 7) & (number <= 2), F.concat(key.cast("string"), F.lit("-0"))).otherwise(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     )
+    has_twin = ~F.col("invoiced") & (F.col("l_partkey") % 200 == 7)
+    has_sales = (number == 1) & (key % 60 == 11)
+    kinds = F.filter(
+        F.array(*[F.lit(k) for k in range(4)]), lambda k: (k == 0) | ((k == 1) & has_twin) | ((k > 1) & has_sales)
+    )
+    first_sale = F.date_sub("order_date", FIRST_SALES_EARLIER)
     return (
         _table(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn(
-            "twin",
-            F.explode(
-                F.when(~F.col("invoiced") & (F.col("l_partkey") % 200 == 7), F.array(F.lit(0), F.lit(1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
+        .withColumn("kind", F.explode(kinds))
         .select(
-            F.when(twin, F.concat(line_id, F.lit("-inv"))).otherwise(line_id).alias("event_id"),
+            F.concat(line_id, _pick(kind, {1: "-inv", 2: "-first", 3: "-second"}, "")).alias("event_id"),
             "customer_id",
-            F.col("l_partkey").alias("product_id"),
-            F.when(twin, F.date_add("order_date", F.col("l_linenumber") * 5 - 10))
+            _with_unknown("l_partkey", key % 89 == 3).alias("product_id"),
+            F.when(twin, F.date_add("order_date", number * 5 - 10))
+            .when(sale, first_sale)
+            .when(refund, F.date_add(first_sale, (F.col("customer_id") % 4 + 1).cast("int")))
             .otherwise(F.col("order_date"))
             .alias("event_date"),
-            F.when(twin | F.col("invoiced"), "invoice").otherwise("order").alias("event_type"),
+            F.when((kind > 0) | F.col("invoiced"), "invoice").otherwise("order").alias("event_type"),
             F.col("l_quantity").cast("int").alias("quantity"),
             price.alias("unit_price_local"),
             # A third of the lines have four decimals.
@@ -149,7 +157,7 @@ def events_raw(spark: SparkSession, sf_dir: str, geography: bool = True) -> Data
                 F.floor(price * (1 - discount) * 100).cast("double") / 100
                 + F.when(F.col("l_linenumber") % 3 == 0, F.lit(0.0037)).otherwise(F.lit(0.0))
             ).alias("net_revenue_usd"),
-            (F.col("l_returnflag") == "R").alias("is_refunded"),
+            F.when(kind > 1, refund).otherwise(F.col("l_returnflag") == "R").alias("is_refunded"),
             F.when(discount < 0.03, "N/A")
             .when(discount < 0.06, "WELCOME10")
             .when(discount < 0.09, "SAVE5")

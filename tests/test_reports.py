@@ -78,13 +78,21 @@ def test_mart_keeps_every_event_once(tables):
 def test_mart_subset_skips_joins(tables, rows):
     some = ["event_id", "unit_price_local", "days_since_last_invoice", "category"]
     args = (tables.events, tables.customers_final, tables.products)
-    assert rows(mart.combined(*args, columns=some)) == rows(mart.combined(*args), *some)
-    plan = mart.combined(*args, columns=["event_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(mart.combined(*args, columns=some, unique_keys=True)) == rows(mart.combined(*args), *some)
+    plan = mart.combined(*args, columns=["event_id"], unique_keys=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "part.parquet" not in plan
     with pytest.raises(ValueError):
         mart.combined(*args, columns=["nope"])
 
 
+def test_mart_subset_has_the_rows_of_the_mart(tables):
+    twice = tables.customers_final.unionByName(tables.customers_final.orderBy("customer_id").limit(3))
+    args = (tables.events, twice, tables.products)
+    n = mart.combined(*args).count()
+    assert n > tables.sales.count()
+    assert mart.combined(*args, columns=["event_date"]).count() == n
+
+
 def test_chunks_add_up(run, tables):
     assert sum(r.row_count for r in run("mart_export_chunks")) == tables.sales.count()
 

@@ -24,6 +24,19 @@ def test_readers_round_trip(make_events, make_customers, make_products, rows, sp
         assert rows(back) == rows(df)
 
 
+@pytest.mark.parametrize("format", ["parquet", "csv"])
+@pytest.mark.parametrize("kind", ["date", "timestamp", "string"])
+def test_customers_as_imported(make_customers, rows, spark, tmp_path, format, kind):
+    final = make_customers(dict(), dict(customer_id="C2"))
+    imported = final.withColumnsRenamed({"region_customers": "region", "country_customers": "country"})
+    imported = imported.select(*reversed(imported.columns)).withColumn("signup_date", imported.signup_date.cast(kind))
+    path = str(tmp_path / "customers")
+    (imported.write.option("header", True) if format == "csv" else imported.write).format(format).save(path)
+    back = tables.read_customers(spark, path, format=format)
+    assert back.schema.simpleString() == final.schema.simpleString()
+    assert rows(back) == rows(final)
+
+
 def test_csv_header_must_fit(spark, make_events, tmp_path):
     path = str(tmp_path / "swapped")
     make_events(dict()).select("customer_id", "event_id").write.option("header", True).csv(path)
@@ -56,6 +69,13 @@ def test_job_builds_everything(make_events, make_customers, make_products, rows,
     assert share == [("2024-01-01", "30.0", "20.0", "66.67"), ("2025-01-01", "2.5", "2.5", "100.0")]
     assert csv("reports/revenue_per_customer_by_billing") == [("Annual", "2.5", "1", "2.5")]
     assert csv("reports/order_invoice_counts")[1] == ("orders_not_proceed", "0")
+    many = {"orders_proceed": 0, "orders_not_proceed": 0, "invoices_not_orders": 4, "events_baskets": 4, "events_baskets_min2": 2}
+    assert {name: spark.read.parquet(f"{out}/{name}").count() for name in many} == many
+    assert {
+        "blank_profile", "dimension_keys", "duplicate_event_ids", "foreign_font_values",
+        "invoice_counts_repeat", "invoices_before_signup", "second_purchase_gap",
+    } <= set(os.listdir(f"{out}/reports"))
+    assert csv("reports/duplicate_event_ids") == []
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         main([*arguments, f"--out={out}"])
     main([*arguments, f"--out={out}", "--mode=overwrite"])
