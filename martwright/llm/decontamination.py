@@ -207,7 +207,7 @@ def _summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.astype({"row": "Int64", "doc_id": "Int64"})
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack: int | None = None, slice_words: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack: int | None = None, slice_words: int = 1_000_000, number: str | None = None) -> DataFrame:
     """One row per document of `docs` (doc_id, text; other columns are not read): n_words,
     n_hit, n_items, items_sha256, contaminated, items and n_near_items.
 
@@ -217,15 +217,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
     corpus gives no rows, an empty benchmark rows without hits. Proximity matches are sought
     where `slack` is given.
 
-    If `docs` has a column `row` that numbers its rows for good, the result carries it;
-    without one, a benchmark of several slices has the documents numbered and saved first.
+    `number` names a column of `docs` that numbers its rows for good; the result carries it
+    as `row`. Without one, a benchmark of several slices has the documents numbered and
+    saved first.
     """
-    numbered = "row" in docs.columns
-    docs = docs.select(docs["row"] if numbered else F.lit(None).cast("long").alias("row"), "doc_id", "text")
+    docs = docs.select((F.col(number) if number else F.lit(None).cast("long")).alias("row"), "doc_id", "text")
     parts = []
     slices = _slices(benchmark, slice_words)
     items, following = next(slices), next(slices, None)
-    if following is not None and not numbered:
+    if following is not None and not number:
         docs = saved(docs.withColumn("row", F.monotonically_increasing_id()))
     while items is not None:
         windows = Windows(items, width)
@@ -265,5 +265,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFram
     are judged one by one.
     """
     rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("own")))
-    found = contamination(rows.select("row", "own.doc_id", "own.text"), benchmark, **settings)
+    found = contamination(rows.select("row", "own.doc_id", "own.text"), benchmark, number="row", **settings)
     return rows.join(found.where("contaminated").select("row"), "row", "left_anti").select("own.*")

@@ -121,7 +121,8 @@ def train(
         .select(F.col("doc_id").alias("labelled_id"), "quality")
     )
     # At most `max_labelled` rows of two numbers.
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("labelled_id")).select("doc_id", "text", "n_chars", "quality")
+    own = docs.select("doc_id", "text", docs["n_chars"].cast("double"))
+    rows = own.join(F.broadcast(chosen), own["doc_id"] == F.col("labelled_id")).select("doc_id", "text", "n_chars", "quality")
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,5 +195,6 @@ def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The documents that the machine doesn't reject, with their own columns."""
     machine = train(docs, labels, **settings)
-    rated = score(docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("own")), machine)
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    rated = score(own.select("own", "own.text", "own.n_chars"), machine)
     return rated.where("predicted = 1").select("own.*")

@@ -42,23 +42,13 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs), np.uint64)
 
 
-def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """Bits set in over half of the hashes, as `words` numbers of 64 bits; more than one
-    word takes further bits from mixing each hash."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        mixed = hashes
-        if k:
-            mixed = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= np.uint64(0x94D049BB133111EB)
-            mixed ^= mixed >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(mixed), CHUNK):
-            part = mixed[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * ones > len(mixed)).tobytes(), "big")
-    return out
+def majority(hashes: np.ndarray) -> np.uint64:
+    """Bits set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+    return np.uint64(int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -67,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            made = [majority(shingle_hashes(space_words(t), width))[0] for t in texts]
+            made = [majority(shingle_hashes(space_words(t), width)) for t in texts]
             yield pd.Series(np.array(made, np.uint64).view(np.int64))
 
     return docs.select("doc_id", fp("text").alias("fp"))
