@@ -194,3 +194,32 @@ def test_near_duplicates_by_brute_force(spark):
                 group = [low if g == high else g for g in group]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).repartition(4)
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs, rounds=3).collect()) == sorted(set(group))
+
+
+def families(texts, least=0.8):
+    """The number of the first text of each one's group, by brute force."""
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and jaccard(texts[i], texts[j]) >= least:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_duplicates_between_unlike_heads(spark, monkeypatch, block):
+    """Families of texts that share all words in other orders: any key has unlike heads."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    orders = [rng.sample(base, 120) for _ in range(8)]
+    texts = [" ".join(rng.sample(base, 120))]
+    for k in range(3):
+        for own in orders:
+            own = list(own)
+            own[40 + k], own[41 + k] = own[41 + k], own[40 + k]
+            texts.append(" ".join(own))
+    texts.append(" ".join(rng.sample(base, 120)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).coalesce(1)
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == sorted(set(families(texts)))
