@@ -223,3 +223,22 @@ def test_near_duplicates_between_unlike_heads(spark, monkeypatch, block):
     texts.append(" ".join(rng.sample(base, 120)))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).coalesce(1)
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == sorted(set(families(texts)))
+
+
+def test_near_duplicates_with_a_block_of_other_words(spark):
+    """A tail added, cut or replaced, at 0.80 to 0.90 and just below: all pairs are found."""
+    rng = random.Random(13)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+    texts = []
+    for k in range(60):
+        base, part = words(300), rng.randint(24, 78)
+        texts.append(" ".join(base))
+        texts.append(" ".join([base + words(part), base[:-part], base[: -part // 2] + words(part // 2)][k % 3]))
+    alike = [jaccard(texts[k], texts[k + 1]) for k in range(0, len(texts), 2)]
+    assert sum(0.8 <= x <= 0.9 for x in alike) > 20 and sum(x < 0.8 for x in alike) > 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).repartition(4)
+    want = sorted([*range(0, len(texts), 2), *[2 * k + 1 for k, x in enumerate(alike) if x < 0.8]])
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == want
