@@ -1,10 +1,10 @@
 """URL filter by a tree of path templates.
 
 A URL belongs to a host and a path of segments. Along the tree of a host's paths, from
-the root on, a segment that varies (numbers, identifiers, or one of too many siblings) is
+the root on, a segment that varies (numbers, identifiers, or values that hardly recur) is
 generalised to a wildcard, and sibling branches that are statistically alike - the same
-kinds of segments below them and the same labelled rate - are merged into one. What is
-left are the host's templates. A template is rejected if the share of bad pages among its
+kinds of segments below them and the same labelled rate - are merged into one, however
+many siblings there are. What is left are the host's templates. A template is rejected if the share of bad pages among its
 labelled ones, smoothed towards a prior, reaches a threshold.
 
 Hosts of any size are no trouble: pages are first counted by host and shape of path, with
@@ -65,7 +65,7 @@ def _shape(segment: Column) -> Column:
 
 def templates(
     pages: DataFrame,
-    max_children: int = 32,
+    vary: float = 0.5,
     depth: int = 6,
     prior: float = 0.1,
     weight: float = 4.0,
@@ -73,9 +73,11 @@ def templates(
 ) -> DataFrame:
     """(host, shape, template, n, labelled, bad, purity, rejected) from (host, path, bad).
 
-    `bad` is 1, 0 or null for a page without a label. A node with more than `max_children`
-    kinds of segments has them all generalised. Branches are merged where the kinds of
-    segments below them are the same and the labelled rate falls into the same third.
+    `bad` is 1, 0 or null for a page without a label. Branches are merged where the kinds
+    of segments below them are the same and the labelled rate falls into the same third.
+    Where such siblings of the same kinds have more than `vary` distinct values per page,
+    the values name pages: those with fewer than `weight` labels have no rate of their own
+    and are merged whatever their labels. How many siblings there are makes no difference.
     Beyond `depth` segments a path is one wildcard. Purity is (bad + weight * prior) /
     (labelled + weight), so a template without labels has the prior.
     """
@@ -98,27 +100,21 @@ def templates(
             .groupBy("host", "done", "segment")
             .agg(
                 F.bit_or(F.expr("shiftleft(1L, pmod(hash(coalesce(below, '/')), 63))")).alias("kinds"),
-                F.sum("labelled").alias("labelled"),
-                F.sum("bad").alias("bad"),
+                *[F.sum(c).alias(c) for c in ("n", "labelled", "bad")],
             )
         )
         rate = F.when(F.col("labelled") == 0, -1).otherwise(F.least(F.lit(2), F.floor(F.col("bad") * 3 / F.col("labelled"))))
-        alike = branches.withColumn("rate", rate.cast("int")).drop("labelled", "bad")
-        siblings = alike.groupBy("host", "done").agg(F.count(F.lit(1)).alias("children"))
-        merged = alike.groupBy("host", "done", "kinds", "rate").agg(F.count(F.lit(1)).alias("members"), F.min("segment").alias("name"))
+        same = branches.groupBy("host", "done", "kinds").agg((F.count(F.lit(1)) / F.sum("n") > vary).alias("varied"))
+        rate = F.when(F.col("varied") & (F.col("labelled") < weight), -2).otherwise(rate)
         # One row per branch; joins by host and path above it, which AQE can split.
-        named = (
-            alike.join(siblings, ["host", "done"])
-            .join(merged, ["host", "done", "kinds", "rate"])
-            .select(
-                "host",
-                "done",
-                "segment",
-                F.when(F.col("children") > max_children, "*")
-                .when(F.col("members") > 1, F.concat(F.lit("*~"), "name"))
-                .otherwise(F.col("segment"))
-                .alias("general"),
-            )
+        alike = branches.join(same, ["host", "done", "kinds"]).withColumn("rate", rate.cast("int"))
+        alike = alike.select("host", "done", "segment", "kinds", "rate")
+        merged = alike.groupBy("host", "done", "kinds", "rate").agg(F.count(F.lit(1)).alias("members"), F.min("segment").alias("name"))
+        named = alike.join(merged, ["host", "done", "kinds", "rate"]).select(
+            "host",
+            "done",
+            "segment",
+            F.when(F.col("members") > 1, F.concat(F.lit("*~"), "name")).otherwise(F.col("segment")).alias("general"),
         )
         joined = here.join(named, ["host", "done", "segment"], "left")
         step = F.when(F.col("general").isNull(), F.col("done")).otherwise(F.array_append("done", F.col("general")))

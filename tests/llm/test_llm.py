@@ -75,6 +75,20 @@ def test_bad_templates_are_rejected(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(60))
 
 
+@pytest.mark.parametrize("directories", [32, 33, 60])
+def test_verdicts_do_not_depend_on_the_number_of_siblings(spark, directories):
+    """One bad directory among others that are unlabelled, or good; pages that vary share labels."""
+    urls = [f"http://a.example.com/{'de' if k == 0 else f'd{k}'}/{j}" for k in range(directories) for j in range(5)]
+    got = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert all(r.verdict == ("block" if "/de/" in r.path else "allow") for r in got)
+    urls = [f"http://b.test/{'bad' if k == 0 else f'd{k}'}/{j}" for k in range(directories) for j in range(8)]
+    urls += [f"http://c.test/{d}/{''.join(chr(97 + int(c)) for c in str(k))}" for d in ("bad", "good") for k in range(directories)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = spark.createDataFrame([(i, int("/bad/" in u)) for i, u in enumerate(urls) if i % 2], "page_id long, bad int")
+    got = url_filters.judge(pages, known).collect()
+    assert all(r.verdict == ("block" if "/bad/" in r.path else "allow") for r in got)
+
+
 # --- learned ------------------------------------------------------------------------------
 
 
