@@ -169,14 +169,15 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     Components become floor(scale * x), the score is their integer inner product, ties go
     to the smaller vec_id, and rows with the query's own id are no candidates. Rows with a
     null id, a null vector, or a null or non-finite component take no part; a vector
-    is compared with those of its own length only. Identical repeated rows count once;
-    several vectors under one id are separate candidates, and as queries all of them ask.
+    is compared with those of its own length only. Repeated rows are separate candidates,
+    identical ones too; as queries, identical rows ask once, and of several vectors under
+    one id all ask.
     A score beyond 64 bits is an error. Empty tables give no rows.
     """
-    rows = vectors.select("vec_id", "embedding").distinct()
+    rows = vectors.select("vec_id", "embedding")
     trees = saved(_trees(rows, scale, tree))
     numbered = trees.select("dim", F.xxhash64("tree").alias("tree_id"), "tree")
-    blocks = _query_blocks(rows.where(F.col("vec_id") % every == 0), scale, block)
+    blocks = _query_blocks(rows.where(F.col("vec_id") % every == 0).distinct(), scale, block)
     # Blocks of queries, each sent to the trees of its length.
     asked = blocks.join(numbered.select("dim", "tree_id").distinct(), "dim").join(numbered, ["dim", "tree_id"])
 

@@ -329,3 +329,9 @@ def test_queries_equal_their_sql(spark, name):
     columns = ", ".join(sorted(df.columns))
     want = con.execute(f"SELECT {columns} FROM ({oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == sorted(want)
+
+
+def test_top_k_counts_repeated_rows(spark):
+    data = [(0, [1.0, 2.0]), *[(1, [1.0, 1.0])] * 3, (2, [0.5, 0.5])]
+    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>"), k=4).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 2)]
