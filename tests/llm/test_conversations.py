@@ -122,9 +122,11 @@ def test_a_mask_that_does_not_fit_is_an_error(spark):
 
 def test_formatting_is_one_shuffle_without_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], CONVERSATION)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
     plan = chat_format.digest(chat_format.format_conversations(df))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
-    assert plan.count("sort_array") == 1  # not evaluated again for each turn
+    assert plan.count("ObjectHashAggregate") == 2 and "element_at(turns#" in plan  # turns are sorted once, not for each turn
 
 
 # --- prefix trie -----------------------------------------------------------------------------
