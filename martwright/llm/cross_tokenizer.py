@@ -32,12 +32,14 @@ from martwright.llm.shared import saved
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 STRETCH = 256  # tokens of A in a lane
-MERGED = 4 << 20  # characters merged together; a longer text is merged alone
+MERGED = 1 << 21  # characters merged together; a longer text is merged alone
 ENCODED = 1 << 18  # characters given to a tokenizer together
-LONG = 1 << 16  # longer texts are encoded in parts
+WORDS = 200_000  # words that a Python worker remembers with their tokens,
+WORD_CHARS = 1 << 22  # and their characters; beyond either it starts anew
 FREQUENT = 1 << 18
-#: A single space between word characters: neither tokenizer has a token across it.
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+#: A single space between other characters: neither tokenizer has a token across it, and what
+#: follows is encoded as it is at the beginning of a text.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _known: dict[str, _Pair] = {}
 
 
@@ -87,42 +89,77 @@ class _Pair:
         comma, bar, semicolon = ([f"{i}{c}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))] for c in ",|;")
         self.written = comma + bar + semicolon
         self.width = len(comma)
-
-    def parts(self, text: str) -> list[str]:
-        """`text`, cut before spaces so that parts are encoded one by one with the same result."""
-        if len(text) <= LONG or not self.cuts:
-            return [text]
-        out, at = [], 0
-        while len(text) - at > LONG and (cut := _CUT.search(text, at + LONG // 2)):
-            out.append(text[at : cut.start()])
-            at = cut.end()
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """A's ids of space + text, B's of text, for each text."""
-        a: list[list] = [[] for _ in texts]
-        b: list[list] = [[] for _ in texts]
-        waiting: list[tuple[int, str]] = []
-        size = 0
-
-        def flush():
-            strings = [p for _, p in waiting]
-            for (k, _), e in zip(waiting, self.a.encode_batch_fast([f" {p}" for p in strings], add_special_tokens=False), strict=True):
-                a[k].append(np.array(e.ids, np.int32))
-            for (k, _), ids in zip(waiting, self.b.encode(strings, num_threads=1), strict=True):
-                b[k].append(np.array(ids, np.int32))
-            waiting.clear()
-
-        for k, text in enumerate(texts):
-            for part in self.parts(text):
-                waiting.append((k, part))
-                size += len(part)
-                if size >= ENCODED:
-                    flush()
-                    size = 0
-        if waiting:
-            flush()
-        return [np.concatenate(x) for x in a], [np.concatenate(x) for x in b]
+        self.forget()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode `words` with both tokenizers and put them into the table."""
+        a_ids, a_sizes, b_ids, b_sizes = [], [], [], []
+        at = 0
+        while at < len(words):
+            some, size = [], 0
+            while at + len(some) < len(words) and (not some or size < ENCODED):
+                some.append(words[at + len(some)])
+                size += len(some[-1])
+            spaced = [f" {w}" for w in some]
+            encoded = self.a.encode_batch_fast(spaced, add_special_tokens=False)
+            for word, e, y in zip(spaced, encoded, self.b.encode(some, num_threads=1), strict=True):
+                x, whole = e.ids, word.encode("utf-8")
+                a_ids += x
+                b_ids += y
+                a_sizes.append(len(x))
+                b_sizes.append(len(y))
+                alike = b"".join([self.a_bytes[t] for t in x]) == whole == b"".join([self.b_bytes[t] for t in y])
+                self.alike.append(alike)
+            at += len(some)
+        for word in words:
+            self.words[word] = len(self.words)
+        for table, ids, sizes in ((self.a_table, a_ids, a_sizes), (self.b_table, b_ids, b_sizes)):
+            table.add(ids, sizes)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, Tokens, Tokens]:
+        """Which texts both tokenizers give back byte by byte, and the tokens of these: A's of
+        space + text, B's of text. Every word is encoded once while the table holds it."""
+        if len(self.words) > WORDS or self.chars > WORD_CHARS:
+            self.forget()
+        parts = [_CUT.split(t) if self.cuts else [t] for t in texts]
+        new = dict.fromkeys([w for own in parts for w in own if w not in self.words])
+        self.chars += sum(map(len, new))
+        self._learn(list(new))
+        known, alike = self.words, np.array(self.alike, bool)
+        used = [np.array([known[w] for w in own], np.int64) for own in parts]
+        given_back = np.array([bool(alike[u].all()) or self._whole(t, u) for t, u in zip(texts, used, strict=True)], bool)
+        kept = [u for u, good in zip(used, given_back, strict=True) if good]
+        return given_back, self.a_table.tokens(kept, self.a_sizes), self.b_table.tokens(kept, self.b_sizes)
+
+    def _whole(self, text: str, used: np.ndarray) -> bool:
+        whole = b" " + text.encode("utf-8")
+        sides = ((self.a_table, self.a_sizes, self.a_bytes), (self.b_table, self.b_sizes, self.b_bytes))
+        return all(b"".join([names[t] for t in table.tokens([used], sizes).ids.tolist()]) == whole for table, sizes, names in sides)
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.chars, self.alike = 0, []
+        self.a_table, self.b_table = _Words(), _Words()
+
+
+class _Words:
+    """The tokens of numbered words, behind one another."""
+
+    def __init__(self):
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, ids: list[int], sizes: list[int]) -> None:
+        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+    def tokens(self, texts: list[np.ndarray], sizes: np.ndarray) -> Tokens:
+        """The tokens of texts that are given as numbers of words."""
+        words = np.concatenate([np.zeros(0, np.int64), *texts])
+        first, count = self.starts[words], np.diff(self.starts)[words]
+        before = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        ids = self.ids[np.arange(before[-1]) + np.repeat(first - before[:-1], count)]
+        starts = before[np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)]
+        return Tokens(ids, sizes[ids], starts)
 
 
 def _pair(a_file: bytes, b_file: bytes) -> _Pair:
@@ -136,12 +173,6 @@ def _pair(a_file: bytes, b_file: bytes) -> _Pair:
 # --- lockstep merging ----------------------------------------------------------------------
 
 
-def _tokens(ids: list[np.ndarray], sizes: np.ndarray) -> Tokens:
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-    joined = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    return Tokens(joined, sizes[joined], starts)
-
-
 def lockstep(a: Tokens, b: Tokens, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links and cuts of the tokens of several texts, each of which covers the same bytes,
     at least one, in `a` and `b`: positions of linked A and B tokens, in order, and whether
@@ -188,15 +219,8 @@ def _offsets(of: np.ndarray, n: int) -> np.ndarray:
 def _aligned(texts: list[str | None], pair: _Pair) -> list[pa.Array]:
     """Columns n_a, n_b, n_groups, n_links, groups, pairs for some texts."""
     given = [k for k, t in enumerate(texts) if t]
-    a_ids, b_ids = pair.encode([texts[k] for k in given])
-    kept, a_kept, b_kept = [], [], []
-    for k, x, y in zip(given, a_ids, b_ids, strict=True):
-        whole = b" " + texts[k].encode("utf-8")
-        if b"".join([pair.a_bytes[t] for t in x.tolist()]) == whole == b"".join([pair.b_bytes[t] for t in y.tolist()]):
-            kept.append(k)
-            a_kept.append(x)
-            b_kept.append(y)
-    a, b = _tokens(a_kept, pair.a_sizes), _tokens(b_kept, pair.b_sizes)
+    given_back, a, b = pair.encode([texts[k] for k in given])
+    kept = [k for k, good in zip(given, given_back, strict=True) if good]
     at_a, at_b, cut = lockstep(a, b)
     n, rows = len(texts), np.array(kept, np.int64)
     # One number for text and id pair: sorting it sorts by text, then A id, then B id.

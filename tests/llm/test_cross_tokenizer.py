@@ -143,13 +143,24 @@ def test_lanes_do_not_change_links():
         assert [x.tolist() for x in ct.lockstep(a, b, stretch)] == want
 
 
-def test_parts_of_long_texts_encode_alike(monkeypatch):
+def test_words_encode_like_whole_texts(monkeypatch):
+    """Cut at spaces, with a table that is dropped all the time, and as the libraries do it."""
+    by_a, by_b = encoded()
     pair = ct._Pair(open(ct.BYTE_BPE, "rb").read(), open(ct.PIECES, "rb").read())
+    assert pair.cuts
+    monkeypatch.setattr(ct, "WORDS", 5)
+    monkeypatch.setattr(ct, "ENCODED", 20)
     rng = random.Random(8)
-    words = ["été", "don't", "a", "12", "x-y", "日本", "  ", "\n", "end. ", "_", "é"]
-    texts = [" ".join(rng.choice(words) for _ in range(4000)), "x" * 5000, "no_space" * 500]
-    whole = pair.encode(texts)
-    monkeypatch.setattr(ct, "LONG", 100)
-    assert len(pair.parts(texts[0])) > 50
-    for got, want in zip(pair.encode(texts), whole, strict=True):
-        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    words = ["été", "don't", "a", "12", "x-y", "日本", " ", "", "\n", "end. ", "_", "é", "'s", "\x1c", "\u00a0", "(", "...", "▁"]
+    texts = [" ".join(rng.choice(words[: 10 + 4 * (k % 3)]) for _ in range(300)) or "x" for k in range(30)] + ["x" * 5000, "no_space" * 500]
+    for k in range(0, len(texts), 4):
+        some = texts[k : k + 4]
+        good, a, b = pair.encode(some)
+        want = [(by_a(t), by_b(t)) for t in some]
+        whole = [b" " + t.encode() for t in some]
+        assert good.tolist() == [b"".join(x for _, x in u) == w == b"".join(x for _, x in v) for (u, v), w in zip(want, whole, strict=True)]
+        kept = [w for w, g in zip(want, good, strict=True) if g]
+        for tokens, side in ((a, 0), (b, 1)):
+            assert tokens.ids.tolist() == [i for w in kept for i, _ in w[side]]
+            assert tokens.sizes.tolist() == [len(x) for w in kept for _, x in w[side]]
+            assert np.diff(tokens.starts).tolist() == [len(w[side]) for w in kept]
