@@ -51,8 +51,8 @@ def majority(hashes: np.ndarray) -> np.uint64:
     return np.uint64(int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"))
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and `fp`, the fingerprint as a signed long; 0 for a text without words."""
+def fingerprint(text: Column, width: int = 3) -> Column:
+    """The fingerprint of a text as a signed long; 0 for a text without words."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,7 +60,12 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             made = [majority(shingle_hashes(space_words(t), width)) for t in texts]
             yield pd.Series(np.array(made, np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return fp(text)
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id and `fp`, the text's fingerprint."""
+    return docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp"))
 
 
 # --- partitions and thresholds --------------------------------------------------------
@@ -249,3 +254,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     named = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = known.select("fp", "component").join(named, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
+    """`docs` without all but one document of each component of `near_duplicates`: the
+    smallest doc_id stays, of several rows with it the one whose text hashes lowest; a null
+    doc_id counts as largest. Texts without words (null, empty, blank) have one fingerprint,
+    so one of them stays. Rows that stay keep all columns. Empty in, empty out.
+
+    Whole rows move once, behind the decision; components are found over distinct
+    fingerprints, each with its least row, so a group of copies is one row there.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("uid"), fingerprint(F.col("text"), width).alias("fp"), rank.alias("rank"), own.alias("own")))
+    least = saved(rows.groupBy("fp").agg(F.min_by("uid", F.struct("rank", "uid")).alias("uid"), F.min("rank").alias("rank")))
+    members = connected_components(links(least.select("fp"), tau))
+    placed = least.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    kept = placed.groupBy("component").agg(F.min_by("uid", F.struct("rank", "uid")).alias("uid")).select("uid")
+    return rows.join(kept, "uid", "left_semi").select("own.*")

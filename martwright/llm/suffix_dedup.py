@@ -40,7 +40,7 @@ _STEP = 1 << 19  # windows handled at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GATHER = 4000  # rows of a run whose windows are grouped inside a task
-BUCKET_ROWS = 20_000  # rows that such a task gets
+BUCKET_ROWS = 4000  # rows that such a task gets
 
 
 def tokens(data: bytes, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +204,7 @@ def _edges(fetched: DataFrame, depth: int, unit: str) -> DataFrame:
                 yield pd.DataFrame({"uid": [r.uid] * r.n, "start": r.start + np.arange(r.n), "run": r.run, "copies": r.copies, "window": own})
 
     few = fetched.where(F.col("rows") <= GATHER)
-    buckets = max(1, few.count() // BUCKET_ROWS)
+    buckets = 1 + few.count() // BUCKET_ROWS
     near = few.groupBy(F.pmod(F.xxhash64("run"), F.lit(buckets)).alias("bucket")).applyInPandas(inside, "uid binary, start int, n int")
     many = fetched.where(F.col("rows") > GATHER).mapInPandas(spread, "uid binary, start int, run long, copies long, window long")
     repeated = many.groupBy("run", "window").agg(F.sum("copies").alias("total")).where("total > 1").drop("total")
@@ -290,7 +290,8 @@ def _covered(docs: DataFrame, depth: int, unit: str, digit: int | None) -> DataF
 
 
 def remove_repeats(docs: DataFrame, depth: int = 400, unit: str = "bytes", digit: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256.
+    """One row per document: doc_id, n_bytes (of the whole input text), n_removed, n_spans,
+    kept_sha256 and `text`, what is left; of a character cut in the middle nothing is.
 
     Every byte that is part of `depth` tokens which also start somewhere else, in any
     document, is removed; overlaps count, and all is judged on the input. `unit` is `bytes`
@@ -306,6 +307,7 @@ def remove_repeats(docs: DataFrame, depth: int = 400, unit: str = "bytes", digit
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", F.sha2(text, 256)).alias("kept_sha256"),
+        F.coalesce("kept", "own.text", F.lit("")).alias("text"),
     )
 
 

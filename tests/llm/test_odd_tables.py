@@ -11,7 +11,6 @@ from martwright.llm import (
     decontamination,
     language_id,
     license_scan,
-    near_dedup,
     pieces,
     quality_classifier,
     sharding,
@@ -162,83 +161,3 @@ def test_vectors(spark):
     got = sorted(tuple(r) for r in topk.top_k(vectors).collect())
     assert got == [(0, 1, 1, 3 * 1024**2), (0, 2, 2, 3 * 1024**2)]
     assert topk.top_k(vectors.limit(0)).collect() == []
-
-
-def jaccard(a, b, width=5):
-    def shingles(t):
-        w = t.lower().split()
-        return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
-
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
-
-
-def test_near_duplicates_by_brute_force(spark):
-    """Groups of texts with one to three words changed, and reordered ones that share all words."""
-    rng = random.Random(11)
-    texts = []
-    for _ in range(12):
-        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
-        for k in range(6):
-            own = list(base)
-            for j in range(k % 3 + 1):
-                own[rng.randrange(120)] = f"other{k}{j}"
-            texts.append(" ".join(own))
-        for _ in range(4):
-            texts.append(" ".join(rng.sample(base, 120)))
-    group = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if jaccard(texts[i], texts[j]) >= 0.8 and group[i] != group[j]:
-                low, high = sorted((group[i], group[j]))
-                group = [low if g == high else g for g in group]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).repartition(4)
-    assert sorted(r.doc_id for r in near_dedup.keep_one(docs, rounds=3).collect()) == sorted(set(group))
-
-
-def families(texts, least=0.8):
-    """The number of the first text of each one's group, by brute force."""
-    group = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if group[i] != group[j] and jaccard(texts[i], texts[j]) >= least:
-                low, high = sorted((group[i], group[j]))
-                group = [low if g == high else g for g in group]
-    return group
-
-
-@pytest.mark.parametrize("block", [1000, 7])
-def test_near_duplicates_between_unlike_heads(spark, monkeypatch, block):
-    """Families of texts that share all words in other orders: any key has unlike heads."""
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
-    rng = random.Random(12)
-    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
-    orders = [rng.sample(base, 120) for _ in range(8)]
-    texts = [" ".join(rng.sample(base, 120))]
-    for k in range(3):
-        for own in orders:
-            own = list(own)
-            own[40 + k], own[41 + k] = own[41 + k], own[40 + k]
-            texts.append(" ".join(own))
-    texts.append(" ".join(rng.sample(base, 120)))
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).coalesce(1)
-    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == sorted(set(families(texts)))
-
-
-def test_near_duplicates_with_a_block_of_other_words(spark):
-    """A tail added, cut or replaced, at 0.80 to 0.90 and just below: all pairs are found."""
-    rng = random.Random(13)
-
-    def words(n):
-        return ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
-
-    texts = []
-    for k in range(60):
-        base, part = words(300), rng.randint(24, 78)
-        texts.append(" ".join(base))
-        texts.append(" ".join([base + words(part), base[:-part], base[: -part // 2] + words(part // 2)][k % 3]))
-    alike = [jaccard(texts[k], texts[k + 1]) for k in range(0, len(texts), 2)]
-    assert sum(0.8 <= x <= 0.9 for x in alike) > 20 and sum(x < 0.8 for x in alike) > 2
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).repartition(4)
-    want = sorted([*range(0, len(texts), 2), *[2 * k + 1 for k, x in enumerate(alike) if x < 0.8]])
-    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == want
