@@ -11,21 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import decontamination, near_dedup, pieces, quality_classifier, suffix_dedup
+from martwright.llm import decontamination, pieces, quality_classifier, simhash, suffix_dedup
 from martwright.llm.queries import ship
 from martwright.llm.shared import saved, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier scores below 0.5 go; null and empty texts are scored like
+    any other and every row of a repeated doc_id by its own text."""
     ship(spark)
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each component of SimHash fingerprints stays, the smallest doc_id, null
+    last: 3-word shingles, at most 2 of 64 bits apart. Texts without words are one group."""
     ship(spark)
-    return near_dedup.keep_one(docs)
+    return simhash.keep_one(docs, width=3, tau=2)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,8 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids of the pieces."""
+    """doc_id, lang, source, n_tokens and the ids of the pieces: one row for each document, repeated
+    ones too, none for null and empty texts."""
     ship(spark)
     rows = pieces.encode(docs, pieces.load())
     return rows.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids")
