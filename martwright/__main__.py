@@ -130,6 +130,14 @@ def build(
         sinks.write_csv(report(), f"{out}/reports/{name}", mode)
 
 
+_READERS = {"events": tables.read_events, "customers": tables.read_customers, "products": tables.read_products}
+_READERS_WITH_REJECTS = {
+    "events": lambda spark, path: tables.read_with_rejects(spark, path, tables.EVENTS),
+    "customers": tables.read_customers_with_rejects,
+    "products": lambda spark, path: tables.read_with_rejects(spark, path, tables.PRODUCTS),
+}
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="martwright", description=__doc__.splitlines()[0])
     for table in ("events", "customers", "products"):
@@ -137,16 +145,26 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--out", required=True, help="directory to write to")
     parser.add_argument("--format", default="parquet", help="format of the raw tables: parquet or csv")
     parser.add_argument("--mode", default="errorifexists", choices=["errorifexists", "overwrite"])
+    parser.add_argument(
+        "--keep-rejects",
+        action="store_true",
+        help="CSV only: write lines that do not fit their table to OUT/rejects and go on without them",
+    )
     args = parser.parse_args(argv)
+    if args.keep_rejects and args.format != "csv":
+        parser.error("--keep-rejects is for --format csv")
 
     spark = builder("martwright").getOrCreate()
-    build(
-        tables.read_events(spark, args.events, args.format),
-        tables.read_customers(spark, args.customers, args.format),
-        tables.read_products(spark, args.products, args.format),
-        args.out,
-        args.mode,
-    )
+    raw = {}
+    for name, path in {"events": args.events, "customers": args.customers, "products": args.products}.items():
+        if args.keep_rejects:
+            raw[name], rejects = _READERS_WITH_REJECTS[name](spark, path)
+            rejects.write.mode(args.mode).parquet(f"{args.out}/rejects/{name}")
+            written = spark.read.schema(rejects.schema).parquet(f"{args.out}/rejects/{name}")
+            sinks.write_csv(tables.rejects_by_reason(written), f"{args.out}/reports/rejects_{name}", args.mode)
+        else:
+            raw[name] = _READERS[name](spark, path, args.format)
+    build(raw["events"], raw["customers"], raw["products"], args.out, args.mode)
 
 
 if __name__ == "__main__":

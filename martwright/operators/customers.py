@@ -119,8 +119,3 @@ def flag_repeaters(grouped: DataFrame, customers: DataFrame, *attributes: str) -
     return grouped.join(known, "customer_id", "left").withColumn(
         "is_repeater", F.coalesce("known", F.lit(False)) & F.col("two_invoices")
     )
-
-
-def only_repeaters(grouped: DataFrame, customers: DataFrame, *attributes: str) -> DataFrame:
-    """`by_customer` rows of repeaters, with customer attributes; filters before joining."""
-    return grouped.where("two_invoices").join(customers.select("customer_id", *attributes), "customer_id")

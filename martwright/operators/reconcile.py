@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martwright.functions.membership import BITS, key_map, with_possible_partner
+
 # An order and an invoice with the same values here are taken as one deal. There is no
 # date condition: an invoice may come before its order. A NULL never matches.
 MATCH_KEYS = ("customer_id", "product_id", "quantity", "unit_price_local", "net_revenue_usd", "is_refunded")
@@ -30,7 +32,7 @@ def orders_proceed(events: DataFrame, keys: Sequence[str] = MATCH_KEYS) -> DataF
     )
 
 
-def _unmatched(events, kept, other, keys, date):
+def _unmatched(events, kept, other, keys, date, bits):
     left = _of_type(events, kept, keys, date)
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     # One row per key, combined map side: a key that is hot on the right stays one row. Null-safe
@@ -39,19 +41,32 @@ def _unmatched(events, kept, other, keys, date):
     right = events.where(F.col("event_type") == other).where(whole)
     right = right.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    if bits:
+        # Rows whose key has no bit on the right are results already and move nowhere.
+        left = with_possible_partner(left, keys, key_map(right, right.columns, bits), "__partner", bits)
+        doubtful = whole & F.col("__partner")
+    else:
+        doubtful = whole
     # An anti join, not a left join filtered on NULL, which Spark would run as written.
-    unmatched = left.where(whole).join(right, same, "left_anti")
-    return unmatched.unionByName(left.where(~whole)).select(*keys[:2], date, *keys[2:])
+    unmatched = left.where(doubtful).join(right, same, "left_anti")
+    return unmatched.unionByName(left.where(~doubtful)).select(*keys[:2], date, *keys[2:])
+
 
+def orders_not_proceed(events: DataFrame, keys: Sequence[str] = MATCH_KEYS, bits: int = BITS) -> DataFrame:
+    """Orders without a matching invoice. Event dates must not be NULL.
 
-def orders_not_proceed(events: DataFrame, keys: Sequence[str] = MATCH_KEYS) -> DataFrame:
-    """Orders without a matching invoice. Event dates must not be NULL."""
-    return _unmatched(events, "order", "invoice", keys, "order_date")
+    Only orders that may have a partner by a bit map of the invoices' hashed keys are
+    shuffled and compared. `bits`, its size, changes the cost and not the result: the
+    share of partnerless orders that is shuffled nevertheless is the share of bits set, about the
+    number of different keys divided by `bits`. 0 compares all rows without a map,
+    which is cheaper where the keys are several times as many as bits that can be broadcast.
+    """
+    return _unmatched(events, "order", "invoice", keys, "order_date", bits)
 
 
-def invoices_not_orders(events: DataFrame, keys: Sequence[str] = MATCH_KEYS) -> DataFrame:
-    """Invoices without a matching order. Event dates must not be NULL."""
-    return _unmatched(events, "invoice", "order", keys, "invoice_date")
+def invoices_not_orders(events: DataFrame, keys: Sequence[str] = MATCH_KEYS, bits: int = BITS) -> DataFrame:
+    """Invoices without a matching order, as `orders_not_proceed` the other way round."""
+    return _unmatched(events, "invoice", "order", keys, "invoice_date", bits)
 
 
 def order_invoice_counts(events: DataFrame, keys: Sequence[str] = MATCH_KEYS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from martwright.functions.columns import dollars, month_start, parts, round_half_away
 from martwright.functions.joins import splittable_join
-from martwright.operators.customers import by_customer, flag_repeaters, only_repeaters, repeating_customers
+from martwright.operators.customers import by_customer, flag_repeaters, repeating_customers
 
 SEGMENTS = ("Consumer", "SOHO", "SMB", "Enterprise")
 
@@ -79,10 +79,25 @@ def repeater_products_by_segment(
 
 
 def repeater_discount_usage(events: DataFrame, customers: DataFrame) -> DataFrame:
-    """Events (not customers) of repeaters per discount group, most first."""
-    used = by_customer(events, ["discount_group"], F.count(F.lit(1)).alias("n"))
+    """Events (not customers) of repeaters per discount group, most first.
+
+    Codes are free text, so a large customer can have any number of them: no window runs
+    over a customer's codes. Events are counted per customer and code, spread by both;
+    invoices per customer are added up from these counts, map side first; and the counts
+    join the repeaters in a join that splits a hot customer.
+    """
+    # Invoices are a key and not a second count: both readers below then need the same
+    # columns of the grouping, and Spark shuffles the events once for the two.
+    used = (
+        events.where(F.col("customer_id").isNotNull())
+        .groupBy("customer_id", "discount_group", (F.col("event_type") == "invoice").alias("invoice"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    invoices = F.sum(F.when(F.col("invoice"), F.col("n")).otherwise(0)).alias("invoices")
+    twice = used.groupBy("customer_id").agg(invoices).where("invoices >= 2")
+    buyers = customers.select("customer_id").join(twice, "customer_id", "left_semi")
     return (
-        only_repeaters(used, customers)
+        splittable_join(used, buyers, "customer_id")
         .groupBy("discount_group")
         .agg(F.sum("n").alias("repeaters_count"))
         .orderBy(F.col("repeaters_count").desc(), F.col("discount_group").asc_nulls_last())

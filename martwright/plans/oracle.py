@@ -140,6 +140,9 @@ CLEAN = """
 )
 """
 
+#: Read several times by one statement: computed once, whatever the version's optimizer does.
+SHARED = ("base", "events", "events_timed")
+
 SAME_DEAL = " AND ".join(
     f"o.{k} = i.{k}"
     for k in ("customer_id", "product_id", "quantity", "unit_price_local", "net_revenue_usd", "is_refunded")
@@ -353,7 +356,8 @@ def _complete(statement: str, tables: dict[str, str]) -> str:
     needed, text = [], statement
     for name, body in reversed(tables.items()):
         if re.search(rf"\b{name}\b", text):
-            needed.insert(0, f"{name} AS (\n{body})")
+            kept = " MATERIALIZED" if name in SHARED else ""
+            needed.insert(0, f"{name} AS{kept} (\n{body})")
             text += body
     return f"WITH {', '.join(needed)}\n{statement}"
 

@@ -99,6 +99,10 @@ def products_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _kinds(*numbers: int) -> Column:
+    return F.array(*[F.lit(n) for n in numbers])
+
+
 def events_raw(spark: SparkSession, sf_dir: str, geography: bool = True) -> DataFrame:
     """One event per line item, plus an invoice twin for some orders and a first and a
     refunded second sale, 1 to 4 days later, for some customers.
@@ -132,8 +136,12 @@ def events_raw(spark: SparkSession, sf_dir: str, geography: bool = True) -> Data
     )
     has_twin = ~F.col("invoiced") & (F.col("l_partkey") % 200 == 7)
     has_sales = (number == 1) & (key % 60 == 11)
-    kinds = F.filter(
-        F.array(*[F.lit(k) for k in range(4)]), lambda k: (k == 0) | ((k == 1) & has_twin) | ((k > 1) & has_sales)
+    # Constant arrays stay in generated code; a function over an array for each row would not.
+    kinds = (
+        F.when(has_twin & has_sales, _kinds(0, 1, 2, 3))
+        .when(has_twin, _kinds(0, 1))
+        .when(has_sales, _kinds(0, 2, 3))
+        .otherwise(_kinds(0))
     )
     first_sale = F.date_sub("order_date", FIRST_SALES_EARLIER)
     return (

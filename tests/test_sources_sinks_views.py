@@ -120,3 +120,111 @@ def test_views_answer_sql_and_the_written_mart_too(spark, sf_dir, rows, tmp_path
     assert rows(spark.sql(report)) == lazy
     assert spark.table("combined").columns == built["combined"].columns
     assert spark.sql("SELECT * FROM product_pairs").columns[-1] == "pair_count"
+
+
+# --- rejects ---------------------------------------------------------------------------------
+
+
+def _lines(path, spark):
+    return sorted(r.value for r in spark.read.text(path).collect())
+
+
+def test_bad_lines_are_set_aside(spark, make_events, rows, tmp_path):
+    """Every line is read or rejected, once, with the first reason that applies."""
+    path = tmp_path / "events"
+    good = make_events(dict(), dict(region=None, net_revenue_usd=None), dict(country='a "quoted", one'))
+    good.coalesce(1).write.option("header", True).csv(str(path))
+    plain = make_events(dict()).columns
+    fit = dict(zip(plain, ["E9", "C1", "P1", "2024-01-01", "invoice", "1", "1.5", "2.5", "true", "N/A", "Web", "EU", "Germany"], strict=True))
+
+    def line(**changed):
+        return ",".join({**fit, **changed}.values())
+
+    wrong = {
+        line(event_date="2024-13-01"): "event_date",
+        line(quantity="many"): "quantity",
+        line(quantity="1.5"): "quantity",
+        line(unit_price_local="1,5"): "columns",
+        line(is_refunded="perhaps"): "is_refunded",
+        line(event_date="x", quantity="y"): "event_date",
+        "E1,C1": "columns",
+    }
+    (path / "part-more.csv").write_text("\n".join([",".join(plain), line(), *wrong]) + "\n")
+    read, rejects = tables.read_with_rejects(spark, str(path))
+    assert read.schema.simpleString() == good.schema.simpleString()
+    assert len(rows(read)) == 4 and set(rows(good)) <= set(rows(read))
+    assert {r.line: r.reason for r in rejects.collect()} == wrong
+    assert all(r.path.endswith("part-more.csv") for r in rejects.collect())
+    assert [(r.reason, r.lines) for r in tables.rejects_by_reason(rejects).collect()] == [
+        ("columns", 2), ("event_date", 2), ("quantity", 2), ("is_refunded", 1),
+    ]
+    assert read.count() == 4 and rejects.count() == len(wrong)  # also where no column is asked for
+
+
+def test_a_table_without_bad_lines(spark, make_products, rows, tmp_path):
+    path = str(tmp_path / "products")
+    df = make_products(dict(), dict(product_name="X Add–on"))
+    df.write.option("header", True).csv(path)
+    read, rejects = tables.read_with_rejects(spark, path, tables.PRODUCTS)
+    assert rows(read) == rows(df) and rejects.collect() == []
+
+
+def test_another_table_is_still_an_error(spark, make_events, tmp_path):
+    path = str(tmp_path / "swapped")
+    make_events(dict()).select("customer_id", "event_id").write.option("header", True).csv(path)
+    with pytest.raises(Exception):
+        tables.read_with_rejects(spark, path)[0].collect()
+
+
+def test_job_goes_on_without_bad_lines(make_events, make_customers, make_products, spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    imported = make_customers(dict(), dict(customer_id="C2")).withColumnsRenamed({"region_customers": "region", "country_customers": "country"})
+    for name, df in {"events": make_events(dict(), dict()), "customers": imported, "products": make_products(dict())}.items():
+        df.coalesce(1).write.option("header", True).csv(str(raw / name))
+    for name, extra in {"events": "short,line", "customers": ",".join(["C3", "no date"] + [""] * (len(imported.columns) - 2))}.items():
+        part = next((raw / name).glob("*.csv"))
+        (raw / name / "part-bad.csv").write_text(part.read_text().splitlines()[0] + "\n" + extra + "\n")
+    arguments = [f"--{t}={raw}/{t}" for t in ("events", "customers", "products")]
+    main([*arguments, f"--out={out}", "--format=csv", "--keep-rejects"])
+    found = {t: [r.reason for r in spark.read.parquet(f"{out}/rejects/{t}").collect()] for t in ("events", "customers", "products")}
+    assert found == {"events": ["columns"], "customers": ["signup_date"], "products": []}
+    assert spark.read.parquet(f"{out}/mart").count() == 2 and spark.read.parquet(f"{out}/customers_final").count() == 2
+    with pytest.raises(SystemExit):
+        main([*arguments, f"--out={out}2", "--keep-rejects"])
+
+
+# --- refreshed chunks ------------------------------------------------------------------------
+
+
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.csv")}
+
+
+@pytest.mark.parametrize("grain, changed", [("year", 2024), ("month", "2024-05")])
+def test_one_period_is_written_alone(make_events, spark, rows, tmp_path, grain, changed):
+    path = tmp_path / "chunks"
+    before = make_events(*[dict(event_date=f"{y}-{m}-01", net_revenue_usd=0.1) for y in (2023, 2024, 2025) for m in ("01", "05")])
+    sinks.export_chunks(before, str(path), grain=grain)
+    old = _files(path)
+    after = before.unionByName(make_events(dict(event_id="new", event_date="2024-05-09", net_revenue_usd=0.2)))
+    manifest = sinks.refresh_chunks(after, str(path), [changed], sums=["net_revenue_usd"], grain=grain)
+    new = _files(path)
+    touched = f"chunk_{grain}={changed}"
+    assert {f: t for f, t in new.items() if touched not in f} == {f: t for f, t in old.items() if touched not in f}
+    assert not {f for f in old if touched in f} & {f for f in new if touched in f}
+    written = spark.read.schema(after.schema).option("header", True).csv(str(path))
+    assert rows(written, *after.columns) == rows(after)
+    n = 3 if grain == "year" else 2
+    assert rows(manifest) == [(str(changed), n, 100_000 * n + 100_000)]
+    assert sinks.check_chunks(written, manifest, ["net_revenue_usd"], grain=grain).collect() == []
+    broken = written.where("event_id <> 'new'")
+    found = sinks.check_chunks(broken, manifest, ["net_revenue_usd"], grain=grain).collect()
+    assert [(r.expected_row_count, r.found_row_count) for r in found] == [(n, n - 1)]
+    gone = sinks.check_chunks(written.where("year(event_date) <> 2024"), manifest, ["net_revenue_usd"], grain=grain)
+    assert [r.found_row_count for r in gone.collect()] == [None]
+
+
+def test_manifest_of_rows_without_a_date(make_events, rows):
+    events = make_events(dict(), dict(event_date=None), dict(event_date=None))
+    assert rows(sinks.chunk_manifest(events)) == [("2024", 1), (None, 2)]
+    assert rows(sinks.chunk_manifest(events.limit(0))) == []
