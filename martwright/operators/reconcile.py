@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.functions.membership import BITS, key_map, with_possible_partner
+from martwright.functions.membership import key_map, with_possible_partner
 
 # An order and an invoice with the same values here are taken as one deal. There is no
 # date condition: an invoice may come before its order. A NULL never matches.
@@ -52,19 +52,19 @@ def _unmatched(events, kept, other, keys, date, bits):
     return unmatched.unionByName(left.where(~doubtful)).select(*keys[:2], date, *keys[2:])
 
 
-def orders_not_proceed(events: DataFrame, keys: Sequence[str] = MATCH_KEYS, bits: int = BITS) -> DataFrame:
+def orders_not_proceed(events: DataFrame, keys: Sequence[str] = MATCH_KEYS, bits: int = 0) -> DataFrame:
     """Orders without a matching invoice. Event dates must not be NULL.
 
-    Only orders that may have a partner by a bit map of the invoices' hashed keys are
-    shuffled and compared. `bits`, its size, changes the cost and not the result: the
-    share of partnerless orders that is shuffled nevertheless is the share of bits set, about the
-    number of different keys divided by `bits`. 0 compares all rows without a map,
-    which is cheaper where the keys are several times as many as bits that can be broadcast.
+    With `bits` (`membership.BITS`, say) only orders that may have a partner by a bit map of
+    the invoices' hashed keys are shuffled and compared. That changes the cost and not the
+    result: the share of partnerless orders that is shuffled nevertheless is the share of
+    bits set, about the number of different keys divided by `bits`. It pays where moving
+    rows costs more than looking them up, so on one machine it does not.
     """
     return _unmatched(events, "order", "invoice", keys, "order_date", bits)
 
 
-def invoices_not_orders(events: DataFrame, keys: Sequence[str] = MATCH_KEYS, bits: int = BITS) -> DataFrame:
+def invoices_not_orders(events: DataFrame, keys: Sequence[str] = MATCH_KEYS, bits: int = 0) -> DataFrame:
     """Invoices without a matching order, as `orders_not_proceed` the other way round."""
     return _unmatched(events, "invoice", "order", keys, "invoice_date", bits)
 

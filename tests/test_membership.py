@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_plans import LARGE, SMALL_SKEW, final_plan, hot_events, settings, skewed_joins  # noqa: F401
 
-from martwright.functions.membership import key_map, with_possible_partner
+from martwright.functions.membership import BITS, key_map, with_possible_partner
 from martwright.operators import reconcile, repeaters
 from martwright.sources import testdata
 
@@ -50,7 +50,7 @@ def test_partnerless_rows_skip_the_shuffle(spark, settings, hot_events):  # noqa
     one = events.where("event_type = 'order'").limit(1)
     events = events.unionByName(one.withColumn("event_type", F.lit("invoice"))).cache()
     orders = events.where("event_type = 'order'").count()
-    left = reconcile.orders_not_proceed(events)
+    left = reconcile.orders_not_proceed(events, bits=BITS)
     assert left.count() == orders - events.where("event_type = 'invoice'").join(
         events.where("event_type = 'order'").select(*reconcile.MATCH_KEYS), list(reconcile.MATCH_KEYS), "left_semi"
     ).count()
