@@ -32,7 +32,9 @@ from martwright.llm.shared import saved
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 100_000  # words that a task remembers
+CACHE = 100_000  # words that a worker remembers beside the frequent ones
+REMEMBERED = 256  # characters; a longer word is encoded each time
+PART = 1 << 20  # characters of a batch whose ids are held at a time
 COUNTED = 3000  # texts whose words are counted before the counts leave a task
 #: Tasks that build and fold the lattice of the frequent words, at most 200,000 of them.
 WORD_PARTS = 64
@@ -294,16 +296,23 @@ def _as_bytes(model: Model, parts: list[str]) -> bytes:
 
 
 class _Words(dict):
-    """Ids of words as bytes: the frequent ones, and up to CACHE of those met meanwhile."""
+    """Ids of words as bytes: the frequent ones, and up to CACHE of those met meanwhile.
+
+    It is what is broadcast, so a Python worker holds one, whatever number of tasks it runs,
+    and remembers words from one task to the next.
+    """
 
     def __init__(self, model: Model, known: dict[str, bytes]):
         super().__init__(known)
-        self.model, self.known, self.most = model, known, len(known) + CACHE
+        self.model, self.most = model, len(known) + CACHE
 
     def __missing__(self, word: str) -> bytes:
         parts = self.model.cuts.findall(word)
-        ids = b"".join(self.known.get(p) or np.array(encode_word(self.model, p), "<i4").tobytes() for p in parts)
-        if len(self) < self.most:
+        if len(parts) > 1:
+            ids = b"".join(self.get(p) or np.array(encode_word(self.model, p), "<i4").tobytes() for p in parts)
+        else:
+            ids = np.array(encode_word(self.model, word), "<i4").tobytes()
+        if len(self) < self.most and len(word) <= REMEMBERED:
             self[word] = ids
         return ids
 
@@ -311,19 +320,31 @@ class _Words(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words_of(text, self.model.prefix))), "<i4")
 
 
+def _parts(batch, texts: pd.Series) -> Iterator:
+    """A batch in parts of PART characters or one text, so that what is made of it is never
+    held for all its rows at once."""
+    size = texts.str.len().fillna(0).cumsum().to_numpy()
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART, "right")))
+        yield batch.iloc[at:stop]
+        at = stop
+
+
 def encode(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None) -> DataFrame:
     """`docs` with `ids`, the array of piece ids of the whole text.
 
     Null and empty texts have no ids. A text's own U+2581 is encoded as a space. Other
     columns and repeated rows stay; a column named ids is replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model, frequent(docs, model) if known is None else known))
+    held = docs.sparkSession.sparkContext.broadcast(_Words(model, frequent(docs, model) if known is None else known))
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _Words(*held.value)
-        for texts in batches:
-            yield pd.Series([words.encode(t) for t in texts])
+        words = held.value
+        for batch in batches:
+            for texts in _parts(batch, batch):
+                yield pd.Series([words.encode(t) for t in texts])
 
     return docs.withColumn("ids", ids("text"))
 
@@ -372,11 +393,10 @@ def summary(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None
     """Documents encoded and decoded again: doc_id, n_tokens, ids_sha256 (of the ids,
     comma-joined), n_byte_pieces and round_trip, whether decoding gives the text. Nulls
     and empty texts as in `encode`; a null text counts as empty."""
-    held = docs.sparkSession.sparkContext.broadcast((model, frequent(docs, model) if known is None else known))
+    held = docs.sparkSession.sparkContext.broadcast(_Words(model, frequent(docs, model) if known is None else known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, table = held.value
-        words = _Words(own, table)
+        words, own = held.value, held.value.model
         digits = [str(i) for i in range(len(own.names))]
         low, high = (own.byte_ids[0], own.byte_ids[-1]) if own.byte_ids else (-1, -2)
         for batch in batches:
