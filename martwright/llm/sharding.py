@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUNDS = 6
+BLOCK = 10_000  # copies of one row that are numbered together
 KEY = ("doc_id", "size", "text_crc32", "text_hash")
 
 
@@ -90,7 +91,12 @@ def _numbered(docs: DataFrame, buckets: int) -> tuple[DataFrame, int]:
 
 
 def _placed(numbered: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
-    each = numbered.withColumn("number", F.explode(F.expr("sequence(first, first + copies - 1)")))
+    # A row's copies in blocks first, dealt anew where there is more than one: no array is
+    # longer than a block, or than the number of blocks, and no task makes all of them.
+    blocks = numbered.withColumn("from", F.explode(F.expr(f"sequence(first, first + copies - 1, {BLOCK}L)")))
+    few, many = blocks.where(F.col("copies") <= BLOCK), blocks.where(F.col("copies") > BLOCK)
+    dealt = few.unionByName(many.repartition(F.xxhash64("from")))
+    each = dealt.withColumn("number", F.explode(F.expr(f"sequence(from, least(from + {BLOCK - 1}L, first + copies - 1))"))).drop("from")
     moved = each.withColumn("place", _permuted(F.col("number"), n, seed))
     return moved.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).withColumn(
         "slot", F.floor(F.col("place") / shards).cast("long")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -279,6 +280,22 @@ def test_pieces_equal_the_library(spark):
     assert pieces._merged_long(model, "▁hellohello" * 20) == pieces._merged_short(model, "▁hellohello" * 20)
 
 
+def test_pieces_of_a_batch_in_parts(spark):
+    """Ids leave a worker in parts; rows and ids stay together, whatever the texts' length."""
+    import sentencepiece
+
+    model, sp = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(21)
+    texts = [prose(rng, n) for n in (5, 300_000, 1, 40, 90_000, 90_000, 3)] + ["x" * 300 + " y"] * 2 + [None, "", "a"]
+    got = pieces.encode(documents(spark, texts).coalesce(1), model, {}).collect()
+    assert len(got) == len(texts)
+    assert all(list(r.ids) == (sp.encode(r.text) if r.text else []) for r in got)
+    long = pd.Series(["ab", None, "c" * pieces.PART, "d", "e" * pieces.PART, ""])
+    cut = [list(p.index) for p in pieces._parts(long, long)]
+    assert sum(cut, []) == list(range(6)) and max(map(len, cut)) < 6
+    assert list(pieces._parts(long.iloc[:0], long.iloc[:0])) == []
+
+
 def test_viterbi_fold_finds_the_best_path(spark):
     rng = random.Random(8)
     table_ = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): (i, -rng.random() * 5) for i in range(40)}
@@ -335,6 +352,15 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_shards_of_a_row_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 1000)
+    docs = documents(spark, ["one", "two"]).unionByName(documents(spark, ["same"]).crossJoin(spark.range(12_345)).drop("id"))
+    rows = sharding.shard(docs, shards=10).collect()
+    assert sorted(r.number for r in rows) == list(range(12_347))
+    assert len({(r.shard, r.slot) for r in rows}) == 12_347
+    assert {r.slot * 10 + r.shard for r in rows} == set(range(12_347))
+
+
 def test_pipeline_and_queries(spark):
     import corpus_pipeline
 
