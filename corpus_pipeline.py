@@ -16,37 +16,50 @@ from martwright.llm.queries import ship
 from martwright.llm.shared import saved, table
 
 
+#: Rows that go to a Python worker at a time, 10,000 by default: whole texts of any length.
+BATCH = 2000
+
+
+def _prepared(spark: SparkSession) -> None:
+    """The package is on the executors, and the session's Arrow batches have BATCH rows at most.
+    Plans are run after a stage returns, so the setting stays."""
+    ship(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH:
+        spark.conf.set(setting, str(BATCH))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5 go; null and empty texts are scored like
     any other and every row of a repeated doc_id by its own text."""
-    ship(spark)
+    _prepared(spark)
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of SimHash fingerprints stays, the smallest doc_id, null
     last: 3-word shingles, at most 2 of 64 bits apart. Texts without words are one group."""
-    ship(spark)
+    _prepared(spark)
     return simhash.keep_one(docs, width=3, tau=2)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur elsewhere are cut out; documents stay, even
     if nothing is left of their text."""
-    ship(spark)
+    _prepared(spark)
     return suffix_dedup.without_repeats(docs, depth=50, unit="words")
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words of a benchmark item, or a shorter item, go."""
-    ship(spark)
+    _prepared(spark)
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of the pieces: one row for each document, repeated
     ones too, none for null and empty texts."""
-    ship(spark)
+    _prepared(spark)
     rows = pieces.encode(docs, pieces.load())
     return rows.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids")
 
