@@ -2,7 +2,7 @@
 
     spark-submit ... -m martwright --events E --customers C --products P --out DIR
 
-Writes under DIR: `mart/` (parquet by year), `customers_final/` and `customer_days/` (parquet),
+Writes under DIR: `mart/` (parquet by year), `customers_final/`, `customer_days/` and `revenue_cells/` (parquet),
 `mart_csv/` (CSV by year), `product_pairs/` and `reports/<name>/` (CSV), and the event-sized
 results `orders_proceed/`, `orders_not_proceed/`, `invoices_not_orders/`, `events_baskets/`
 and `events_baskets_min2/` (parquet).
@@ -36,8 +36,12 @@ from martwright.session import builder
 from martwright.sources import tables
 
 
-def reports(sold: DataFrame, people: DataFrame, goods: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """Reports by name, from the mart, customers_final and products_final."""
+def reports(
+    sold: DataFrame, people: DataFrame, goods: DataFrame, cells: DataFrame | None = None
+) -> dict[str, Callable[[], DataFrame]]:
+    """Reports by name, from the mart, customers_final and products_final. Revenue reports
+    read `cells`, the mart's `revenue_cells`, in place of the mart where given."""
+    cells = sold if cells is None else cells
     return {
         "event_id_summary": lambda: quality.event_id_summary(sold),
         "duplicate_event_ids": lambda: quality.duplicate_event_ids(sold),
@@ -48,9 +52,9 @@ def reports(sold: DataFrame, people: DataFrame, goods: DataFrame) -> dict[str, C
         "order_invoice_counts": lambda: reconcile.order_invoice_counts(sold),
         "refund_counts_monthly": lambda: refunds.refund_counts_monthly(sold),
         "refund_loss_by_category": lambda: refunds.refund_loss_by_category(sold, goods),
-        "revenue_monthly": lambda: revenue.revenue_monthly(sold),
-        "revenue_vs_year_ago": lambda: revenue.revenue_vs_year_ago(sold),
-        "revenue_by_country": lambda: revenue.revenue_by_country(sold),
+        "revenue_monthly": lambda: revenue.revenue_monthly(cells),
+        "revenue_vs_year_ago": lambda: revenue.revenue_vs_year_ago(cells),
+        "revenue_by_country": lambda: revenue.revenue_by_country(cells),
         "revenue_per_customer_by_billing": lambda: revenue.revenue_per_customer_by_billing(sold, goods),
         "price_by_product_country": lambda: revenue.price_by_product_country(sold, goods),
         "invoice_counts_repeat": lambda: repeaters.invoice_counts_repeat(sold),
@@ -59,7 +63,7 @@ def reports(sold: DataFrame, people: DataFrame, goods: DataFrame) -> dict[str, C
             sold.drop("acquisition_channel"), people, "acquisition_channel"
         ),
         "repeaters_by_sales_channel": lambda: repeaters.repeaters_by(sold, people, "channel"),
-        "repeater_revenue_share": lambda: repeaters.repeater_revenue_share(sold, people),
+        "repeater_revenue_share": lambda: repeaters.repeater_revenue_share(cells, people),
         "repeater_products_by_segment": lambda: repeaters.repeater_products_by_segment(sold, people),
         "repeater_discount_usage": lambda: repeaters.repeater_discount_usage(sold, people),
         "second_purchase_gap": lambda: customers.second_purchase_gap(sold),
@@ -125,7 +129,10 @@ def build(
     )
     for name, result in large_results(sold, goods).items():
         result().write.mode(mode).parquet(f"{out}/{name}")
-    every_report = reports(sold, people, goods) | raw_reports(events_raw, customers_raw, products_raw)
+    summed = revenue.revenue_cells(sold)
+    summed.write.mode(mode).parquet(f"{out}/revenue_cells")
+    cells = spark.read.schema(summed.schema).parquet(f"{out}/revenue_cells")
+    every_report = reports(sold, people, goods, cells) | raw_reports(events_raw, customers_raw, products_raw)
     for name, report in every_report.items():
         sinks.write_csv(report(), f"{out}/reports/{name}", mode)
 

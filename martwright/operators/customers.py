@@ -99,13 +99,14 @@ def by_customer(events: DataFrame, keys: Sequence[str], *measures) -> DataFrame:
     `two_invoices` tells whether the customer has at least two invoices over all keys,
     which is what makes a known customer a repeater. Reading it off the same
     aggregate avoids a second pass over the events, and it is why `events` must be all
-    events of a customer, not a selection by date. After the (map-side combined)
+    events of a customer, not a selection by date (or groups of them with `n_invoices`). After the (map-side combined)
     grouping the rows of a customer are bounded by the number of key values. The keys
     must have few values (months, channels): then the window and any later join on the
     customer are safe for very large customers.
     """
-    invoices = F.count(F.when(F.col("event_type") == "invoice", 1)).alias("n_invoices")
-    grouped = events.groupBy("customer_id", *keys).agg(invoices, *measures)
+    counted = "n_invoices" in events.columns
+    invoices = F.sum("n_invoices") if counted else F.count(F.when(F.col("event_type") == "invoice", 1))
+    grouped = events.groupBy("customer_id", *keys).agg(invoices.alias("n_invoices"), *measures)
     total = F.sum("n_invoices").over(Window.partitionBy("customer_id")) if keys else F.col("n_invoices")
     return grouped.withColumn("two_invoices", total >= 2).drop("n_invoices")
 

@@ -34,15 +34,19 @@ def repeater_revenue_share(events: DataFrame, customers: DataFrame) -> DataFrame
 
     Orders carry no revenue and only keep their month in the result, so they are pooled
     under a NULL customer before the grouping: what is shuffled per customer is
-    invoices alone.
+    invoices alone. `revenue.revenue_cells` of the events will do as well.
     """
-    pooled = events.select(
-        F.when(F.col("event_type") == "invoice", F.col("customer_id")).alias("customer_id"),
-        "event_type",
-        month_start("event_date").alias("year_month"),
-        "final_net_revenue_usd",
-    )
-    monthly = by_customer(pooled, ["year_month"], F.sum(parts("final_net_revenue_usd")).alias("revenue"))
+    if "revenue_parts" in events.columns:
+        pooled, revenue = events.withColumn("year_month", F.col("event_date")), F.sum("revenue_parts")
+    else:
+        pooled = events.select(
+            F.when(F.col("event_type") == "invoice", F.col("customer_id")).alias("customer_id"),
+            "event_type",
+            month_start("event_date").alias("year_month"),
+            "final_net_revenue_usd",
+        )
+        revenue = F.sum(parts("final_net_revenue_usd"))
+    monthly = by_customer(pooled, ["year_month"], revenue.alias("revenue"))
     total, repeat = F.col("total"), F.col("repeat")
     return (
         flag_repeaters(monthly, customers)

@@ -11,15 +11,33 @@ from martwright.functions.columns import PARTS, dollars, month_start, parts
 from martwright.functions.growth import with_year_ago
 
 
-def _revenue() -> Column:
-    return F.sum(parts("final_net_revenue_usd"))
+def _revenue(events: DataFrame | None = None) -> Column:
+    cells = events is not None and "revenue_parts" in events.columns
+    return F.sum("revenue_parts" if cells else parts("final_net_revenue_usd"))
+
+
+def revenue_cells(events: DataFrame) -> DataFrame:
+    """Invoices and confirmed revenue in millionths per customer, country and month.
+
+    `revenue_monthly`, `revenue_vs_year_ago`, `revenue_by_country` and
+    `repeaters.repeater_revenue_share` take these cells in place of events, with the same
+    results: whole millionths add up to the same sums in any grouping. Written once, the cells
+    make one scan of the events do for all four. `event_date` is the month's first day; events
+    other than invoices have no revenue and are pooled under a NULL customer.
+    """
+    invoice = F.col("event_type") == "invoice"
+    return events.groupBy(
+        F.when(invoice, F.col("customer_id")).alias("customer_id"),
+        "country",
+        month_start("event_date").alias("event_date"),
+    ).agg(F.count(F.when(invoice, 1)).alias("n_invoices"), _revenue().alias("revenue_parts"))
 
 
 def revenue_monthly(events: DataFrame) -> DataFrame:
     """Confirmed revenue per month."""
     return (
         events.groupBy(month_start("event_date").alias("year_month"))
-        .agg(dollars(_revenue()).alias("revenues_monthly"))
+        .agg(dollars(_revenue(events)).alias("revenues_monthly"))
         .orderBy(F.col("year_month").asc_nulls_last())
     )
 
@@ -32,7 +50,7 @@ def revenue_vs_year_ago(events: DataFrame) -> DataFrame:
     """
     monthly = events.groupBy(
         F.year("event_date").cast("int").alias("year"), F.month("event_date").alias("month")
-    ).agg(_revenue().alias("revenue"))
+    ).agg(_revenue(events).alias("revenue"))
     matched = with_year_ago(monthly, ["month"], "revenue").where(F.col("revenue_year_ago").isNotNull())
     matched = matched.groupBy("year").agg(
         F.sum("revenue").alias("matched"), F.sum("revenue_year_ago").alias("matched_ago")
@@ -60,7 +78,7 @@ def _growth(now: str, ago: str) -> Column:
 def revenue_by_country(events: DataFrame) -> DataFrame:
     """Confirmed revenue per country and year, with the growth over the year before."""
     yearly = events.groupBy("country", F.year("event_date").cast("int").alias("year")).agg(
-        _revenue().alias("revenue")
+        _revenue(events).alias("revenue")
     )
     return with_year_ago(yearly, ["country"], "revenue").select(
         "country",

@@ -240,3 +240,26 @@ def test_report_order(run):
     assert months == sorted(months)
     cohorts_seen = [(r.signup_year_month, r.months_since_signup) for r in run("retention_calendar")]
     assert cohorts_seen == sorted(cohorts_seen)
+
+
+def test_reports_from_cells_equal_those_from_events(tables, spark, rows):
+    events, people = tables.events, tables.customers
+    cells = revenue.revenue_cells(events)
+    for report in (revenue.revenue_monthly, revenue.revenue_vs_year_ago, revenue.revenue_by_country):
+        assert rows(report(cells)) == rows(report(events)) != []
+    assert rows(repeaters.repeater_revenue_share(cells, people)) == rows(repeaters.repeater_revenue_share(events, people))
+    nothing = revenue.revenue_cells(events.limit(0))
+    assert rows(revenue.revenue_monthly(nothing)) == rows(repeaters.repeater_revenue_share(nothing, people)) == []
+
+
+def test_cells_of_odd_events(make_events, make_customers, rows):
+    events = clean.with_final_revenue(
+        make_events(
+            dict(), dict(event_date=None), dict(country=None), dict(customer_id=None, is_refunded=True),
+            dict(event_type="order"), dict(event_type=None, customer_id="C2"), dict(customer_id="C2"), dict(net_revenue_usd=None),
+        )
+    )
+    people, cells = make_customers(dict(), dict()), revenue.revenue_cells(events)
+    assert rows(revenue.revenue_monthly(cells)) == rows(revenue.revenue_monthly(events))
+    assert rows(revenue.revenue_by_country(cells)) == rows(revenue.revenue_by_country(events))
+    assert rows(repeaters.repeater_revenue_share(cells, people)) == rows(repeaters.repeater_revenue_share(events, people))

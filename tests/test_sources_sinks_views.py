@@ -3,7 +3,8 @@ import os
 import pytest
 
 from martwright import sinks
-from martwright.__main__ import main
+from martwright.__main__ import main, reports
+from martwright.operators.clean import customers_clean
 from martwright.plans import views
 from martwright.sources import tables, testdata
 
@@ -64,6 +65,12 @@ def test_job_builds_everything(make_events, make_customers, make_products, rows,
         return rows(spark.read.option("header", True).csv(f"{out}/{name}"))
 
     assert spark.read.parquet(f"{out}/mart").count() == 4
+    # The four reports on revenue read the cells, not the mart.
+    cells = spark.read.parquet(f"{out}/revenue_cells")
+    listed = reports(spark.read.parquet(f"{out}/mart"), customers_clean(make_customers(dict())), products, cells)
+    for name in ("revenue_monthly", "revenue_vs_year_ago", "revenue_by_country", "repeater_revenue_share"):
+        assert f"{out}/mart" not in {f.split("/year=")[0].removeprefix("file:").removeprefix("//") for f in listed[name]().inputFiles()}
+        assert listed[name]().count() == len(csv(f"reports/{name}"))
     assert csv("product_pairs") == [("P1", "Plan", "P2", "X Add-on", "1")]
     share = csv("reports/repeater_revenue_share")
     assert share == [("2024-01-01", "30.0", "20.0", "66.67"), ("2025-01-01", "2.5", "2.5", "100.0")]
