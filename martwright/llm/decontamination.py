@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 
 from martwright.llm.shared import alnum_words, saved
 
+#: Words on either side of a window's rarest one within which a proximity match has all others:
+#: any exact match of ten words is one too.
+SLACK = 12
+
 INDEX = "row long, doc_id long, n_words long, terms binary, starts binary, positions binary"
 HITS = "row long, doc_id long, n_words long, hits binary, items array<string>, near array<string>"
 RESULT = (
@@ -119,7 +123,7 @@ def search(index: DataFrame, windows: Windows, slack: int | None = None) -> Data
     return index.mapInPandas(run, HITS)
 
 
-def _search(part: pd.DataFrame, w: Windows, slack: int) -> pd.DataFrame:
+def _search(part: pd.DataFrame, w: Windows, slack: int | None) -> pd.DataFrame:
     # All documents of the block on one line of positions, far enough apart.
     gap = w.width + 2 * (slack or 0)
     lengths = part["n_words"].to_numpy(np.int64)

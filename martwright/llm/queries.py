@@ -66,7 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return license_scan.scan(documents).drop("spans")
 
     def op9(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-        return decontamination.contamination(documents, benchmark).drop("row", "items", "n_near_items")
+        return decontamination.contamination(documents, benchmark, slack=decontamination.SLACK).drop("row", "items")
 
     def op10(documents: DataFrame) -> DataFrame:
         return sharding.shard(documents).drop("number")
@@ -177,9 +177,22 @@ def oracle_sql() -> dict[str, str]:
               SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
               FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
             )
+            , tokens AS (
+              SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM d
+            ), frequency AS (
+              SELECT t, count(DISTINCT r) AS docs FROM tokens GROUP BY t
+            ), rarest AS (  -- of each window: the term in the fewest documents, the first of these
+              SELECT item_id, x, arg_min(t, coalesce(docs, 0) * 100 + o) AS t
+              FROM (SELECT item_id, x, unnest(x) AS t, generate_subscripts(x, 1) AS o FROM windows WHERE item_id IS NOT NULL)
+                LEFT JOIN frequency USING (t) GROUP BY item_id, x
+            ), near AS (
+              SELECT r, count(DISTINCT item_id) AS n_near_items FROM tokens JOIN rarest USING (t) JOIN d USING (r)
+              WHERE list_has_all(w[greatest(k - {decontamination.SLACK}, 1):k + {decontamination.SLACK}], x) GROUP BY r
+            )
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-                   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-            FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+                   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+                   coalesce(n_near_items, 0) AS n_near_items
+            FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
         """,
         "op5_exact_top_k": """
             WITH v AS (
