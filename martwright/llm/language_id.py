@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martwright.llm.shared import few_of_each
+
 WIDTHS = (2, 3, 4)
 PAD = 0  # a zero byte, embedded as zeros
 
@@ -132,10 +134,10 @@ def held_out(fold: int = 2, folds: int = 4):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, window: int = 128, per_language: int = 600, windows_each: int = 4, max_languages: int = 200, **settings) -> Network | None:
+def train(docs: DataFrame, window: int = 128, per_language: int = 600, windows_each: int = 4, max_languages: int = 200, rows_each: int = 4, **settings) -> Network | None:
     """Fit on at most `per_language` documents of each language that are not held out,
     chosen by a hash of their id, and `windows_each` windows of each, from anywhere in the
-    text. Null languages and texts without letters are not learned from. None, if that
+    text. Of a repeated id at most `rows_each` rows are used. Null languages and texts without letters are not learned from. None, if that
     leaves nothing. More than `max_languages` languages are an error."""
     usable = docs.where(~held_out()).where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
     usable = usable.select("doc_id", "text", "lang")
@@ -157,7 +159,8 @@ def train(docs: DataFrame, window: int = 128, per_language: int = 600, windows_e
                     rows.append((doc_id, lang, int(k), every[k].tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "k", "w"])
 
-    cuts = usable.where(salt < share[F.col("lang")]).mapInPandas(cut, "doc_id long, lang string, k int, w binary").collect()
+    chosen = few_of_each(usable.where(salt < share[F.col("lang")]), rows_each)
+    cuts = chosen.mapInPandas(cut, "doc_id long, lang string, k int, w binary").collect()
     by: dict[str, list] = {}
     for r in sorted(cuts, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["k"], r["w"])):
         by.setdefault(r["lang"], []).append(np.frombuffer(r["w"], np.uint8))

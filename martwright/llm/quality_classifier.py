@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.shared import space_words
+from martwright.llm.shared import few_of_each, space_words
 
 STATISTICS = 16  # features after the hashed words
 _SYMBOL = re.compile(rb"[#$%&*@^~|<>{}\\=+_]")
@@ -98,6 +98,7 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 4000,
+    rows_each: int = 4,
     buckets: int = 1 << 15,
     rank: int = 8,
     epochs: int = 15,
@@ -106,7 +107,8 @@ def train(
     seed: int = 7,
 ) -> Machine:
     """Fit on at most `max_labelled` labelled documents that are not held out, chosen by a
-    hash of their id. Their texts are read whole; only their features reach the driver.
+    hash of their id, and at most `rows_each` rows of a repeated id, chosen by a hash of their
+    text. Texts are read whole; only their features reach the driver.
 
     Null labels and labels without a document are not used; a document with several has
     their least. Without labels of both kinds the machine scores 0.5 or its bias.
@@ -123,6 +125,7 @@ def train(
     # At most `max_labelled` rows of two numbers.
     own = docs.select("doc_id", "text", docs["n_chars"].cast("double"))
     rows = own.join(F.broadcast(chosen), own["doc_id"] == F.col("labelled_id")).select("doc_id", "text", "n_chars", "quality")
+    rows = few_of_each(rows, rows_each)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

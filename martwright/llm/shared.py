@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,6 +57,14 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8").lower().split() if text else []
 
 
+def few_of_each(docs: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of each doc_id of (doc_id, text, …), those whose text has the least
+    hash. Spark keeps no more than these of a map task's rows before the shuffle, so an
+    id on a large part of the table reaches one task as a few rows of each map task."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    return docs.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a, b): the smallest node it can reach.
 
