@@ -24,7 +24,7 @@ from martwright.llm import (
     url_filters,
 )
 from martwright.llm.queries import queries, ship
-from martwright.llm.shared import connected_components, table
+from martwright.llm.shared import connected_components, few_of_each, table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -91,6 +91,60 @@ def test_verdicts_do_not_depend_on_the_number_of_siblings(spark, directories):
     assert all(r.verdict == ("block" if "/bad/" in r.path else "allow") for r in got)
 
 
+@pytest.mark.parametrize("shared", ["a/b/c/d/e", "/".join(f"s{k}" for k in range(40)), "x/" * 30 + "y"])
+def test_deep_paths_are_judged_to_their_end(spark, shared):
+    urls = [f"http://h.test/{shared}/{'bad' if i % 2 else 'good'}/{i}" for i in range(60)]
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "page_id long, bad int")
+    rows = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), known).collect()
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in rows)
+
+
+def test_large_branches_are_told_apart_by_counts(spark):
+    """Branches with hundreds of different children: those that lead to the same kinds in the same
+    shares are one template, one that ends in other kinds is its own."""
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    urls = [f"http://h.test/{d}/{name()}" for d in ("a", "b", "c") for _ in range(400)]
+    urls += [f"http://h.test/d/{rng.randrange(10**6)}" for _ in range(400)]
+    labels = [(i, int(i >= 1200)) for i in range(0, 1600, 7)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filters.judge(pages, spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    first = {r.path.split("/")[1]: r.template.split("/")[1] for r in rows}
+    assert first["a"] == first["b"] == first["c"] == "*-" and first["d"] == "d"
+    assert all(r.verdict == ("block" if r.path.startswith("/d/") else "allow") for r in rows)
+
+
+def test_pages_without_labels_are_judged_by_their_path_elsewhere(spark):
+    """Three domains agree that /spam/ is bad: an unlabelled fourth follows. One alone does not do."""
+    urls = [f"http://w.{d}.test/{s}/{i}" for d in ("a", "b", "c") for s in ("spam", "news") for i in range(30)]
+    urls += [f"http://only.test/{s}/{i}" for s in ("lone", "more") for i in range(30)]
+    labels = [(i, int("/spam/" in u or "/lone/" in u)) for i, u in enumerate(urls)]
+    new = [f"http://new.org/{s}/{i}" for s in ("spam", "news", "lone") for i in range(5)]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    rows = url_filters.judge(pages, spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    got = {(r.path.split("/")[1], r.verdict) for r in rows if r.host == "new.org"}
+    assert ("spam", "block") in got and ("news", "allow") in got and len(got) == 3
+
+
+def test_hosts_paths_and_rules_by_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["example", "net", "com", "org", ".", "/", "en", "de", "fr", "//", ":", "?", "#", "A.Example.NET", "http", "x"]
+    urls = ["".join(rng.choice(["http://", "", "s://"]) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for _ in range(400)]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for i, url in enumerate(urls):
+        after = url.split("://", 1)[1] if "://" in url else ""
+        host = re.split("[/?#]", after)[0]
+        path = re.split("[?#]", after[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = []
+        for text, verdict in url_filters.RULES:
+            name, _, start = text.partition("/")
+            if (host == name or host.endswith("." + name)) and path.startswith("/" + start):
+                fits.append((len(text), text, verdict))
+        rule = max(fits)[1:] if fits else (None, got[i].verdict)
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, *rule)
+
+
 # --- learned ------------------------------------------------------------------------------
 
 
@@ -128,6 +182,19 @@ def test_language_on_held_out_documents(spark):
     assert {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_a_repeated_id_gives_few_training_rows(spark):
+    """One doc_id on most rows, copies and different texts: the driver gets a bounded number."""
+    frame = spark.range(3000, numPartitions=6).selectExpr(
+        "if(id < 2900, 1, id) AS doc_id", "if(id < 1000, 'same', 'text ' || id) AS text", "id AS other"
+    )
+    got = Counter(r.doc_id for r in few_of_each(frame, 4).collect())
+    assert got[1] == 4 and len(got) == 101 and set(got.values()) == {1, 4}
+    docs = frame.selectExpr("doc_id", "text", "'en' AS lang", "length(text) AS n_chars")
+    labels = spark.createDataFrame([(1, 1), (2950, 0)], "doc_id long, quality int")
+    assert quality_classifier.classify(docs, labels).count() == 3000
+    assert list(language_id.train(docs).languages) == ["en"]
+
+
 # --- near-duplicates and repeats -----------------------------------------------------------
 
 
@@ -317,6 +384,93 @@ def test_licenses(spark):
     assert rows[2].n_words == 0 and rows[3].base_labels == "gpl"
 
 
+LICENSED = {
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl-2-only",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3-or-later",
+    "SPDX-License-Identifier: AGPL-3.0-only": "agpl-3-only",
+    "// SPDX-License-Identifier: MIT": "mit",
+    "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+    "see http://www.apache.org/licenses/LICENSE-2.0 for it": "apache-2.0",
+    "https://opensource.org/licenses/MIT": "mit",
+    "GNU General Public License v2": "gpl-2",
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+    "version 2.1 of the License, or (at your option) any later version.": "lgpl-2.1-or-later",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+    "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+    "later version.": "gpl-2-or-later",
+    "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4.0",
+    "Mozilla Public License, v. 2.0": "mpl-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "boost-1.0",
+    "Neither the name of the copyright holder nor the names of its contributors may be used": "bsd-3-clause",
+}
+
+
+@pytest.mark.parametrize("text", LICENSED)
+def test_signatures(text):
+    got = {r.label for _, _, r in license_scan.detections(license_scan.alnum_words(text), license_scan.index(license_scan.rules()))}
+    assert got - {"gpl", "copyright"} == {LICENSED[text]}
+
+
+def test_index_proposes_every_rule_that_matches():
+    """Rules found by their rarest keyword are those that trying all of them finds."""
+    rng, ruled = random.Random(14), license_scan.rules()
+    indexed = license_scan.index(ruled)
+    words = sorted({k for r in ruled for k in r.keywords}) + [b"the", b"x", b"2", b"0"]
+    assert all(r.keywords for r in ruled)
+    for _ in range(300):
+        some = [rng.choice(words) for _ in range(40)]
+        for text in rng.sample(list(LICENSED), 2):
+            some[rng.randrange(40):0] = license_scan.alnum_words(text)
+        every = [k for k, r in enumerate(ruled) if r.pattern.search(b" ".join(some))]
+        assert set(every) <= set(license_scan.candidates(set(some), indexed))
+
+
+def test_base_phrases_by_brute_force(spark):
+    rng = random.Random(15)
+    texts = list(ODD)
+    for _ in range(200):
+        some = [rng.choice(["cc", "BY", "by", "General", "public", "license", "all", "rights", "reserved", "é", "x"]) for _ in range(rng.randint(0, 40))]
+        texts.append("".join(w + rng.choice([" ", "-", "\n", ", "]) for w in some))
+    got = {r.doc_id: r for r in license_scan.scan(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in places]
+        base = ",".join(sorted({label for _, label in places}))
+        want = (len(words), len(places), min(starts, default=None), max(starts, default=None), base)
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
+        assert set(base.split(",")) - {""} <= set(got[i].labels.split(","))
+
+
+@pytest.mark.parametrize("slice_words", [1_000_000, 15])
+def test_proximity_by_brute_force(spark, slice_words):
+    """All words of a window around its rarest one, in any order, near the ends of documents too."""
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(k, prose(rng, n, vocabulary)) for k, n in enumerate([25, 12, 3, 2, 1, 10])] + [(None, "w1 w2"), (9, "w1 absent")]
+    texts = [prose(rng, rng.randint(0, 60), vocabulary) for _ in range(60)] + [None, ""]
+    for _ in range(20):
+        own = items[rng.randrange(6)][1].split()[:10]
+        rng.shuffle(own)
+        texts.append(prose(rng, rng.randint(0, 4)) + " " + " ".join(own) + " " + prose(rng, rng.randint(0, 4)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.contamination(documents(spark, texts), bench, slack=4, slice_words=slice_words).collect()
+    split = [(t or "").split() for t in texts]
+    frequency = Counter(w for t in split for w in set(t))
+    want = []
+    for t in split:
+        found = set()
+        for item, text in items:
+            x = text.split()
+            for window in [x[k : k + 10] for k in range(max(1, len(x) - 9))]:
+                rarest = min(window, key=lambda w: frequency[w])
+                near = any(set(window) <= set(t[max(0, p - 4) : p + 5]) for p, w in enumerate(t) if w == rarest)
+                if near and item is not None:
+                    found.add(item)
+        want.append(len(found))
+    assert [r.n_near_items for r in sorted(rows, key=lambda r: r.doc_id)] == want and 0 < sum(map(bool, want)) < len(want)
+
+
 @pytest.mark.parametrize("slice_words", [1_000_000, 15])
 def test_leaks_by_brute_force(spark, slice_words):
     rng = random.Random(9)
