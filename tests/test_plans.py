@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from martwright.operators import baskets, customers, events, reconcile, repeaters
+from martwright.operators import baskets, customers, events, mart, reconcile, repeaters
 from martwright.operators.clean import with_final_revenue
 from martwright.plans.queries import queries
 
@@ -85,6 +85,37 @@ def test_mart_customer_join_adds_no_shuffle(spark, sf_dir, settings):
     assert "Exchange" not in join
 
 
+def _shuffled(df, key):
+    """Columns of the widest shuffle by `key`."""
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName() == "Exchange" and f"hashpartitioning({key}#" in node.outputPartitioning().toString():
+            found.append([node.output().apply(i).name() for i in range(node.output().size())])
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return max(found, key=len)
+
+
+@pytest.mark.parametrize("name", ["events_final", "combined"])
+def test_events_are_shuffled_by_day_without_derived_columns(name, spark, sf_dir, settings):
+    settings(LARGE)
+    text = plan(queries()[name](spark, sf_dir))
+    # Both inputs of the join are hashed by coalesced keys; the events' own columns come below it.
+    below = text[re.search(r"SortMergeJoin \[coalesce\(customer_id", text).end() :]
+    for derived in ("discount_group#", "year_month#", "final_net_revenue_usd#"):
+        assert not re.search(rf"(?<!\w){derived}", below)
+
+
+def test_mart_is_shuffled_by_product_without_profiles_and_derived_columns(spark, sf_dir, settings):
+    settings(LARGE)
+    carried = _shuffled(queries()["combined"](spark, sf_dir), "product_id")
+    assert "event_id" in carried and "signup_date" in carried
+    dropped = {*mart.PROFILE_COLUMNS, "days_to_next_invoice", "customer_id_c", "discount_group", "final_net_revenue_usd"}
+    assert not dropped & set(carried)
+
+
 def test_basket_items_are_computed_once(spark, sf_dir, settings):
     settings(LARGE)
     assert "ReusedExchange" in final_plan(queries()["product_pairs"](spark, sf_dir))

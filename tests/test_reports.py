@@ -1,6 +1,7 @@
 """Reports: fixed small cases, and reconciliation between reports on the test tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import day
 from martwright.operators import baskets, clean, cohorts, customers, cycles, mart, refunds, repeaters, revenue
@@ -75,6 +76,30 @@ def test_mart_keeps_every_event_once(tables):
     assert len(joined.columns) == 16 + 4 + 14 + 14
 
 
+def test_mart_has_each_customers_own_profile(make_events, make_customers, make_products):
+    """Nulls in different columns, repeated and missing ids, equal and different profiles."""
+    own = [
+        dict(customer_id="C1", region_customers="A", segment=None),
+        dict(customer_id="C2", region_customers=None, segment="A"),
+        dict(customer_id="C3", region_customers="A", segment=None, signup_date=None),
+        dict(customer_id="C4", segment=None, acquisition_channel=None),
+        dict(customer_id="C4", segment="", acquisition_channel="Email"),
+        dict(customer_id=None, segment="none"),
+    ]
+    events = make_events(*[dict(customer_id=c) for c in ("C1", "C2", "C3", "C4", "C5", None)])
+    people = customers.customers_final(make_customers(*own).withColumn("signup_year_month", F.lit(None).cast("date")), events)
+    for cleaned in (mart.combined(clean.events_clean(events), people, clean.products_final(make_products(dict()))),
+                    clean.events_clean_after(events, lambda e: mart.combined(e, people, clean.products_final(make_products(dict()))))):
+        got = cleaned.select("customer_id", "customer_id_c", "region_customers", "segment", "acquisition_channel", "signup_date")
+        before, after = day("2023-12-15"), None
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted([
+            ("C1", "C1", "A", None, "Email", before), ("C2", "C2", None, "A", "Email", before), ("C3", "C3", "A", None, "Email", after),
+            ("C4", "C4", None, None, None, before), ("C4", "C4", None, "", "Email", before),
+            ("C5", None, None, None, None, None), (None, None, None, None, None, None),
+        ], key=repr)
+        assert cleaned.columns == mart.combined(clean.events_clean(events), people, clean.products_final(make_products(dict()))).columns
+
+
 def test_mart_subset_skips_joins(tables, rows):
     some = ["event_id", "unit_price_local", "days_since_last_invoice", "category"]
     args = (tables.events, tables.customers_final, tables.products)
