@@ -20,8 +20,9 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,9 @@ CACHE = 100_000  # words that a worker remembers beside the frequent ones
 REMEMBERED = 256  # characters; a longer word is encoded each time
 PART = 1 << 20  # characters of a batch whose ids are held at a time
 COUNTED = 3000  # texts whose words are counted before the counts leave a task
+SHORT = 48  # characters of a word that is merged together with others
+TOGETHER = 4096  # words merged at a time
+_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Tasks that build and fold the lattice of the frequent words, at most 200,000 of them.
 WORD_PARTS = 64
 
@@ -96,17 +100,7 @@ def words_of(text: str | None, prefix: bool) -> list[str]:
     they are the text; no piece has U+2581 after another character."""
     if not text:
         return []
-    escaped = (SPACE if prefix else "") + text.replace(" ", SPACE)
-    words = escaped.split(SPACE)
-    out, spaces = [], 0
-    for k, w in enumerate(words):
-        spaces += k > 0
-        if w:
-            out.append(SPACE * spaces + w)
-            spaces = 0
-    if spaces:
-        out.append(SPACE * spaces)
-    return out
+    return _WORDS.findall((SPACE if prefix else "") + text.replace(" ", SPACE))
 
 
 def encode_word(model: Model, word: str) -> list[int]:
@@ -175,6 +169,92 @@ def _merged_long(model: Model, word: str) -> list[int]:
     return out
 
 
+class Merges:
+    """The same merges for many short words at once, a row of parts for each.
+
+    Parts are numbered: pieces, then characters that only occur inside pieces. `keys` holds
+    the pairs of parts that make a piece, `made` that piece and `order` its place by score,
+    equal for equal scores.
+    """
+
+    def __init__(self, model: Model):
+        names = list(model.pieces)
+        number = {p: k for k, p in enumerate(names)}
+        for c in sorted({c for p in names for c in p}):
+            number.setdefault(c, len(number))
+        self.model, self.size, self.none = model, len(number), np.iinfo(np.int32).max
+        self.part = np.full(0x110000, -1, np.int32)
+        for p, k in number.items():
+            if len(p) == 1:
+                self.part[ord(p)] = k
+        # Parts other than pieces have no id here; words that end with one are left to others.
+        self.ids = np.full(self.size + 1, -1, "<i4")
+        self.ids[: len(names)] = [model.pieces[p][0] for p in names]
+        self.lengths = np.zeros(self.size + 1, np.int32)  # characters of the pieces
+        self.lengths[: len(names)] = [len(p) for p in names]
+        place = {score: k for k, score in enumerate(sorted({s for _, s in model.pieces.values()}, reverse=True))}
+        pairs = [
+            (number[p[:i]] * self.size + number[p[i:]], number[p], place[model.pieces[p][1]])
+            for p in names
+            for i in range(1, len(p))
+            if p[:i] in number and p[i:] in number
+        ]
+        keys, made, order = np.array(sorted(pairs), np.int64).reshape(-1, 3).T
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.made, self.order = np.append(made, 0).astype(np.int32), np.append(order, self.none).astype(np.int32)
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, piece) of pairs; no order where they make none."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.searchsorted(self.keys, key)
+        fits = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(fits, self.order[at], self.none), self.made[at]
+
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of at most SHORT characters that are pieces throughout in the end."""
+        out: dict[str, bytes] = {}
+        words = sorted(words, key=len)
+        for at in range(0, len(words), TOGETHER):
+            self._together(words[at : at + TOGETHER], out)
+        return out
+
+    def _together(self, words: list[str], out: dict[str, bytes]) -> None:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        parts = np.full((len(words), int(sizes.max()) + 1), -1, np.int32)  # a part too many: -1 at the end
+        parts[np.arange(parts.shape[1]) < sizes[:, None]] = self.part[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        order, made = self._found(parts[:, :-1], parts[:, 1:])
+        which, column = np.arange(len(words)), np.arange(parts.shape[1])
+        while len(which):
+            best = order.argmin(axis=1)  # the leftmost of equals
+            row = np.arange(len(which))
+            more = order[row, best] < self.none
+            if not more.all():
+                self._finished(parts[~more], which[~more], words, out)
+                which, best, parts, order, made = which[more], best[more], parts[more], order[more], made[more]
+                row = np.arange(len(which))
+                if not len(which):
+                    break
+            parts[row, best] = made[row, best]
+            after = column[None, :] > best[:, None]
+            parts[:, :-1] = np.where(after[:, :-1], parts[:, 1:], parts[:, :-1])
+            order[:, :-1] = np.where(after[:, :-2], order[:, 1:], order[:, :-1])
+            made[:, :-1] = np.where(after[:, :-2], made[:, 1:], made[:, :-1])
+            parts[:, -1], order[:, -1] = -1, self.none
+            order[row, best], made[row, best] = self._found(parts[row, best], parts[row, best + 1])
+            inner = np.flatnonzero(best)
+            left = best[inner] - 1
+            order[inner, left], made[inner, left] = self._found(parts[inner, left], parts[inner, left + 1])
+
+    def _finished(self, parts: np.ndarray, which: np.ndarray, words: list[str], out: dict[str, bytes]) -> None:
+        ids = self.ids[parts]
+        n = (ids >= 0).sum(axis=1)
+        # A character without a part is -1 too, among the ids or behind them: counted by length.
+        lengths = self.lengths[parts].sum(axis=1)
+        for k, count, length, own in zip(which.tolist(), n.tolist(), lengths.tolist(), ids, strict=True):
+            if length == len(words[k]):
+                out[words[k]] = own[:count].tobytes()
+
+
 def _best_path(model: Model, word: str) -> list[int]:
     floor = model.floor
     best: list[tuple[float, int]] = [(0.0, 0)]  # (score, where the last piece starts)
@@ -304,7 +384,7 @@ class _Words(dict):
 
     def __init__(self, model: Model, known: dict[str, bytes]):
         super().__init__(known)
-        self.model, self.most = model, len(known) + CACHE
+        self.model, self.most, self.merges = model, len(known) + CACHE, None
 
     def __missing__(self, word: str) -> bytes:
         parts = self.model.cuts.findall(word)
@@ -317,7 +397,31 @@ class _Words(dict):
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words_of(text, self.model.prefix))), "<i4")
+        return self._ids(words_of(text, self.model.prefix))
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4")
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; the words that none of them had before are merged together."""
+        texts = [words_of(t, self.model.prefix) for t in texts]
+        if not self.model.bpe:
+            yield from map(self._ids, texts)
+            return
+        if self.merges is None:
+            self.merges = Merges(self.model)
+        new = set().union(*texts).difference(self)
+        cut = {w: found for w in new if len(found := self.model.cuts.findall(w)) > 1}
+        short = {p for w in new for p in cut.get(w, (w,)) if len(p) <= SHORT}
+        merged = self.merges.encode(list(short.difference(self)))
+        self.update(merged)
+        for w in cut:
+            if len(w) <= REMEMBERED:
+                self[w] = b"".join(map(self.__getitem__, cut[w]))
+        yield from map(self._ids, texts)
+        if len(self) > self.most:  # those met last go again
+            for w in list(islice(reversed(self), len(self) - self.most)):
+                del self[w]
 
 
 def _parts(batch, texts: pd.Series) -> Iterator:
@@ -344,7 +448,7 @@ def encode(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None)
         words = held.value
         for batch in batches:
             for texts in _parts(batch, batch):
-                yield pd.Series([words.encode(t) for t in texts])
+                yield pd.Series(list(words.encode_all(texts)))
 
     return docs.withColumn("ids", ids("text"))
 
@@ -401,8 +505,8 @@ def summary(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None
         low, high = (own.byte_ids[0], own.byte_ids[-1]) if own.byte_ids else (-1, -2)
         for batch in batches:
             rows = []
-            for doc_id, text in batch.itertuples(index=False):
-                ids = words.encode(text)
+            encoded = chain.from_iterable(words.encode_all(texts) for texts in _parts(batch["text"], batch["text"]))
+            for (doc_id, text), ids in zip(batch.itertuples(index=False), encoded, strict=True):
                 listed = ",".join(map(digits.__getitem__, ids.tolist()))
                 same = decode_ids(own, ids) == (text or "").replace(SPACE, " ")
                 n = int(((ids >= low) & (ids <= high)).sum())

@@ -546,3 +546,21 @@ def test_top_k_counts_repeated_rows(spark):
     data = [(0, [1.0, 2.0]), *[(1, [1.0, 1.0])] * 3, (2, [0.5, 0.5])]
     got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>"), k=4).collect()
     assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 2)]
+
+
+def test_words_merged_together_are_merged_as_alone():
+    """Random words over pieces with equal scores, characters inside pieces only and characters of no piece."""
+    chance = np.random.default_rng(5)
+    scores = {"a": -9.0, "b": -9.0, "ab": -1.0, "ba": -1.0, "aa": -2.0, "aba": -3.0, "abab": -1.0, "ca": -2.0, "bca": -2.0, "▁a": -1.0}
+    model = pieces.Model(True, {p: (k + 10, s) for k, (p, s) in enumerate(scores.items())}, [], list(range(256)), 0, True)
+    words = sorted({"".join(chance.choice(list("aabbcx▁\U0001f600" if n % 2 else "ab"), n)) for n in chance.integers(1, 20, 3000)})
+    alone = {w: np.array(pieces.encode_word(model, w), "<i4").tobytes() for w in words}
+    together = pieces.Merges(model).encode(words)
+    assert together == {w: alone[w] for w in together} and len(together) > 100
+    assert {w for w in words if set(w) <= set("ab")} <= set(together) and len(together) < len(words)
+    texts = [w.replace("▁", " ") for w in words] + [None, "", "a\nb\n a", "ab" * 200]
+    table_ = pieces._Words(model, {})
+    table_.most = 50
+    got = list(table_.encode_all(texts))
+    assert [g.tolist() for g in got] == [[i for w in pieces.words_of(t, True) for p in model.cuts.findall(w) for i in pieces.encode_word(model, p)] for t in texts]
+    assert len(table_) == 50
