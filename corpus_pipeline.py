@@ -12,21 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm import decontamination, pieces, quality_classifier, simhash, suffix_dedup
-from martwright.llm.queries import ship
+from martwright.llm.queries import BATCH, ship, small_batches  # noqa: F401
 from martwright.llm.shared import saved, table
 
 
-#: Rows that go to a Python worker at a time, 10,000 by default: whole texts of any length.
-BATCH = 2000
-
 
 def _prepared(spark: SparkSession) -> None:
-    """The package is on the executors, and the session's Arrow batches have BATCH rows at most.
-    Plans are run after a stage returns, so the setting stays."""
+    """The package is on the executors, and the session's Arrow batches are small."""
     ship(spark)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= BATCH:
-        spark.conf.set(setting, str(BATCH))
+    small_batches(spark)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

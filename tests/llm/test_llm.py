@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
 import pandas as pd
@@ -308,6 +310,37 @@ def test_repeats_by_brute_force(spark, monkeypatch, gather):
         assert kept == r.n_bytes if r.n_removed == 0 else r.n_bytes - r.n_removed - 2 * r.n_spans <= kept <= r.n_bytes - r.n_removed
 
 
+def test_repeats_hold_little_at_a_time(spark):
+    """What a Python worker makes of many rows, of one batch or one group, is held and handed on in parts."""
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    scan = MagicMock()
+    suffix_dedup._scan(scan, 400, 200, "bytes")
+    run = scan.select.return_value.mapInPandas.call_args[0][0]
+    batch = pd.DataFrame([(b"%d" % k, text[k:]) for k in range(1000)], columns=["uid", "text"])
+    sizes = [len(frame) for frame in run(iter([batch]))]
+    assert len(sizes) > 1 and max(sizes) < 70_000 and sum(sizes) > 150_000
+
+    rows = MagicMock()
+    rows.where.return_value.count.return_value = 0
+    suffix_dedup._edges(rows, 400, "bytes")
+    inside = rows.where.return_value.groupBy.return_value.applyInPandas.call_args[0][0]
+    spread = rows.where.return_value.mapInPandas.call_args[0][0]
+    group = pd.DataFrame([(b"%d" % k, k, 200, k % 50, 1 + k // 1999, 2, text[k : k + 599].encode()) for k in range(2000)])
+    group.columns = [c.split()[0] for c in suffix_dedup.WINDOWS.split(", ")]
+    tracemalloc.start()
+    ranges = inside(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    sizes = [len(frame) for frame in spread(iter([group]))]
+    tracemalloc.stop()
+    assert peak < 12e6  # 400,000 windows; 30 MB as Python numbers in a dict
+    assert max(sizes) < 70_000 and len(sizes) < 10 and sum(sizes) == 400_000
+    # A row shares windows with the next of its run, 50 further: all of them but the first and last row's outer 50.
+    assert len(ranges) == 1999 and dict(zip(ranges["uid"], ranges["n"], strict=True))[b"777"] == 200
+    got = {r.uid: (r.start, r.n) for r in ranges.itertuples()}
+    assert got[b"3"] == (53, 150) and got[b"1998"] == (1998, 150) and b"1999" not in got
+
+
 def test_repeated_words_are_cut(spark):
     rng = random.Random(5)
     shared = prose(rng, 55)
