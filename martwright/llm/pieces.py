@@ -22,7 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,7 @@ PART = 1 << 20  # characters of a batch whose ids are held at a time
 COUNTED = 3000  # texts whose words are counted before the counts leave a task
 SHORT = 48  # characters of a word that is merged together with others
 TOGETHER = 4096  # words merged at a time
+JOINED = 1 << 16  # ids whose strings are joined at a time
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Tasks that build and fold the lattice of the frequent words, at most 200,000 of them.
 WORD_PARTS = 64
@@ -56,10 +57,11 @@ class Model:
     prefix: bool
     longest: int = field(init=False)
     cuts: re.Pattern = field(init=False)
+    alone: re.Pattern = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
-        self.cuts = _cuts(self.pieces)
+        self.cuts, self.alone = _cuts(self.pieces)
 
     @property
     def floor(self) -> float:
@@ -88,11 +90,12 @@ def load(path: str = MODEL) -> Model:
     return Model(spec.trainer_spec.model_type == 2, plain, [sp.id_to_piece(i) for i in ids], byte_ids, sp.unk_id(), spec.normalizer_spec.add_dummy_prefix)
 
 
-def _cuts(pieces: dict[str, tuple[int, float]]) -> re.Pattern:
+def _cuts(pieces: dict[str, tuple[int, float]]) -> tuple[re.Pattern, re.Pattern]:
     """Matches the parts of a word: line ends and tabs stand alone, unless some piece holds
-    one beside another character. No merge and no piece can cross such a cut."""
+    one beside another character. No merge and no piece can cross such a cut. And matches
+    what stands alone: a word without it is one part."""
     alone = re.escape("".join(c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in pieces)))
-    return re.compile(f"[{alone}]|[^{alone}]+" if alone else "(?s:.+)")
+    return re.compile(f"[{alone}]|[^{alone}]+" if alone else "(?s:.+)"), re.compile(f"[{alone}]" if alone else "(?!)")
 
 
 def words_of(text: str | None, prefix: bool) -> list[str]:
@@ -103,6 +106,28 @@ def words_of(text: str | None, prefix: bool) -> list[str]:
     return _WORDS.findall((SPACE if prefix else "") + text.replace(" ", SPACE))
 
 
+def _key(word: str) -> str:
+    """A word without its first U+2581, or after a space if it has none there; such keys are
+    what `split` leaves of most texts, and no word holds a space."""
+    return word[1:] if word[:1] == SPACE else " " + word
+
+
+def _word(key: str) -> str:
+    return key[1:] if key[:1] == " " else SPACE + key
+
+
+def keys_of(text: str | None, prefix: bool) -> list[str]:
+    """Keys of the words of a text."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text:
+        return list(map(_key, words_of(text, prefix)))
+    keys = text.split(" ")
+    if not prefix:
+        keys[0] = " " + keys[0]
+    return keys
+
+
 def encode_word(model: Model, word: str) -> list[int]:
     """Ids of one word of any length, by merges (BPE) or by the best path (unigram)."""
     return _merged(model, word) if model.bpe else _best_path(model, word)
@@ -246,13 +271,17 @@ class Merges:
             order[inner, left], made[inner, left] = self._found(parts[inner, left], parts[inner, left + 1])
 
     def _finished(self, parts: np.ndarray, which: np.ndarray, words: list[str], out: dict[str, bytes]) -> None:
-        ids = self.ids[parts]
-        n = (ids >= 0).sum(axis=1)
         # A character without a part is -1 too, among the ids or behind them: counted by length.
         lengths = self.lengths[parts].sum(axis=1)
-        for k, count, length, own in zip(which.tolist(), n.tolist(), lengths.tolist(), ids, strict=True):
-            if length == len(words[k]):
-                out[words[k]] = own[:count].tobytes()
+        own = list(map(words.__getitem__, which.tolist()))
+        whole = lengths == np.fromiter(map(len, own), np.int64, len(own))
+        ids = self.ids[parts[whole]]
+        real = ids >= 0
+        ends = 4 * np.cumsum(real.sum(axis=1))
+        raw, at = ids[real].tobytes(), 0
+        for word, end in zip(compress(own, whole.tolist()), ends.tolist(), strict=True):
+            out[word] = raw[at:end]
+            at = end
 
 
 def _best_path(model: Model, word: str) -> list[int]:
@@ -282,12 +311,12 @@ def word_counts(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, len(batch), COUNTED):
                 seen: Counter = Counter()
                 for text in batch["text"].iloc[at : at + COUNTED]:
-                    seen.update(words_of(text, model.prefix))
-                for word in [w for w in seen if len(model.cuts.findall(w)) > 1]:
-                    n = seen.pop(word)
-                    for part in model.cuts.findall(word):
-                        seen[part] += n
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    seen.update(keys_of(text, model.prefix))
+                for key in [k for k in seen if model.alone.search(k)]:
+                    n = seen.pop(key)
+                    for part in model.cuts.findall(_word(key)):
+                        seen[_key(part)] += n
+                yield pd.DataFrame({"word": list(map(_word, seen)), "n": list(seen.values())})
 
     return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -376,52 +405,54 @@ def _as_bytes(model: Model, parts: list[str]) -> bytes:
 
 
 class _Words(dict):
-    """Ids of words as bytes: the frequent ones, and up to CACHE of those met meanwhile.
+    """Ids of words as bytes, by their keys: the frequent ones, and up to CACHE of those met
+    meanwhile.
 
     It is what is broadcast, so a Python worker holds one, whatever number of tasks it runs,
     and remembers words from one task to the next.
     """
 
     def __init__(self, model: Model, known: dict[str, bytes]):
-        super().__init__(known)
+        super().__init__((_key(word), ids) for word, ids in known.items())
         self.model, self.most, self.merges = model, len(known) + CACHE, None
+        self.passing: dict[str, bytes] = {}  # words of the texts at hand that are not remembered
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
+        if (ids := self.passing.get(key)) is not None:
+            return ids
+        word = _word(key)
         parts = self.model.cuts.findall(word)
         if len(parts) > 1:
-            ids = b"".join(self.get(p) or np.array(encode_word(self.model, p), "<i4").tobytes() for p in parts)
+            ids = b"".join(self.get(_key(p)) or np.array(encode_word(self.model, p), "<i4").tobytes() for p in parts)
         else:
             ids = np.array(encode_word(self.model, word), "<i4").tobytes()
         if len(self) < self.most and len(word) <= REMEMBERED:
-            self[word] = ids
+            self[key] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self._ids(words_of(text, self.model.prefix))
+        return self._ids(keys_of(text, self.model.prefix))
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4")
+    def _ids(self, keys: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, keys)), "<i4")
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; the words that none of them had before are merged together."""
-        texts = [words_of(t, self.model.prefix) for t in texts]
+        texts = [keys_of(t, self.model.prefix) for t in texts]
         if not self.model.bpe:
             yield from map(self._ids, texts)
             return
         if self.merges is None:
             self.merges = Merges(self.model)
         new = set().union(*texts).difference(self)
-        cut = {w: found for w in new if len(found := self.model.cuts.findall(w)) > 1}
-        short = {p for w in new for p in cut.get(w, (w,)) if len(p) <= SHORT}
-        merged = self.merges.encode(list(short.difference(self)))
-        self.update(merged)
-        for w in cut:
-            if len(w) <= REMEMBERED:
-                self[w] = b"".join(map(self.__getitem__, cut[w]))
+        cut = {k: list(map(_key, self.model.cuts.findall(_word(k)))) for k in new if self.model.alone.search(k)}
+        new.difference_update(cut)
+        new.update(p for parts in cut.values() for p in parts if p not in self)
+        short = {_word(k): k for k in new if len(k) < SHORT}
+        self.passing = {short[word]: ids for word, ids in self.merges.encode(list(short)).items()}
+        self.passing |= {k: b"".join(map(self.__getitem__, parts)) for k, parts in cut.items() if len(k) < REMEMBERED}
+        self.update(islice(self.passing.items(), max(0, self.most - len(self))))
         yield from map(self._ids, texts)
-        if len(self) > self.most:  # those met last go again
-            for w in list(islice(reversed(self), len(self) - self.most)):
-                del self[w]
 
 
 def _parts(batch, texts: pd.Series) -> Iterator:
@@ -453,18 +484,34 @@ def encode(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None)
     return docs.withColumn("ids", ids("text"))
 
 
+class Strings:
+    """Byte strings by number, joined for many numbers at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        if len(ids) > JOINED:
+            return b"".join(self.joined(ids[at : at + JOINED]) for at in range(0, len(ids), JOINED))
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.start[ids] - (ends - n), n)
+        return self.flat[at + np.arange(len(at))].tobytes()
+
+
 def decode_ids(model: Model, ids: np.ndarray) -> str:
     """The text of ids: pieces in order, byte pieces as bytes, without the leading space
     that encoding puts in front. Control pieces give nothing, unknown ones U+2047 in spaces."""
-    table = _bytes_of(model)
-    text = b"".join(map(table.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
+    text = _bytes_of(model).joined(np.asarray(ids, np.int64)).decode("utf-8", "replace")
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
-_tables: dict[int, list[bytes]] = {}
+_tables: dict[int, Strings] = {}
 
 
-def _bytes_of(model: Model) -> list[bytes]:
+def _bytes_of(model: Model) -> Strings:
     if id(model) not in _tables:
         out = [b""] * len(model.names)
         for piece, (i, _) in model.pieces.items():
@@ -474,7 +521,7 @@ def _bytes_of(model: Model) -> list[bytes]:
         if model.unknown >= 0:
             out[model.unknown] = " ⁇ ".encode()
         _tables.clear()
-        _tables[id(model)] = out
+        _tables[id(model)] = Strings(out)
     return _tables[id(model)]
 
 
@@ -501,16 +548,16 @@ def summary(docs: DataFrame, model: Model, known: dict[str, bytes] | None = None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, own = held.value, held.value.model
-        digits = [str(i) for i in range(len(own.names))]
+        listed = Strings([b"%d," % i for i in range(len(own.names))])
         low, high = (own.byte_ids[0], own.byte_ids[-1]) if own.byte_ids else (-1, -2)
         for batch in batches:
             rows = []
             encoded = chain.from_iterable(words.encode_all(texts) for texts in _parts(batch["text"], batch["text"]))
             for (doc_id, text), ids in zip(batch.itertuples(index=False), encoded, strict=True):
-                listed = ",".join(map(digits.__getitem__, ids.tolist()))
+                sha256 = hashlib.sha256(listed.joined(ids)[:-1]).hexdigest()
                 same = decode_ids(own, ids) == (text or "").replace(SPACE, " ")
                 n = int(((ids >= low) & (ids <= high)).sum())
-                rows.append((None if pd.isna(doc_id) else int(doc_id), len(ids), hashlib.sha256(listed.encode()).hexdigest(), n, same))
+                rows.append((None if pd.isna(doc_id) else int(doc_id), len(ids), sha256, n, same))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY.split(", ")]).astype({"doc_id": "Int64"})
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInPandas(run, SUMMARY)

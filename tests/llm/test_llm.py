@@ -597,3 +597,20 @@ def test_words_merged_together_are_merged_as_alone():
     got = list(table_.encode_all(texts))
     assert [g.tolist() for g in got] == [[i for w in pieces.words_of(t, True) for p in model.cuts.findall(w) for i in pieces.encode_word(model, p)] for t in texts]
     assert len(table_) == 50
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+def test_keys_are_the_words_of_a_text(prefix):
+    texts = [None, "", " ", "  ", "a", " a", "a ", "a b", "a  b", "▁a b▁", "▁", "a\nb\tc d", "\n", "é 日本 \0x", " \n  x "]
+    for text in texts:
+        keys = pieces.keys_of(text, prefix)
+        assert [pieces._word(k) for k in keys] == pieces.words_of(text, prefix)
+        assert [pieces._key(w) for w in pieces.words_of(text, prefix)] == keys
+
+
+def test_strings_are_joined_in_bulk(monkeypatch):
+    monkeypatch.setattr(pieces, "JOINED", 7)
+    own = [b"", b"a", "é".encode(), b"12,", b"\xff" * 9]
+    ids = np.random.default_rng(3).integers(0, len(own), 50).astype("<i4")
+    for n in (0, 1, 7, 8, 50):
+        assert pieces.Strings(own).joined(ids[:n]) == b"".join(own[i] for i in ids[:n])
