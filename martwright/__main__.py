@@ -119,7 +119,8 @@ def build(
 
     days = customer_days(events)
     days.write.mode(mode).parquet(f"{out}/customer_days")
-    joined = mart.combined(events, people, goods, days=spark.read.schema(days.schema).parquet(f"{out}/customer_days"))
+    days = spark.read.schema(days.schema).parquet(f"{out}/customer_days")
+    joined = mart.combined_whole(events_raw, people, goods, days)
     write_mart(joined, f"{out}/mart", mode)
     sold = spark.read.schema(joined.schema).parquet(f"{out}/mart").select(*joined.columns)
 

@@ -116,6 +116,22 @@ def test_mart_is_shuffled_by_product_without_profiles_and_derived_columns(spark,
     assert not dropped & set(carried)
 
 
+def test_mart_carries_texts_as_one_column(spark, sf_dir, settings):
+    settings(LARGE)
+    df = queries()["combined"](spark, sf_dir)
+    for key in ("product_id", "coalesce(customer_id"):
+        carried = _shuffled(df, key)
+        assert "event_id" in carried and not {*mart.EVENT_TEXTS, "signup_year_month"} & set(carried)
+
+
+def test_mart_shuffles_order_lines_once(spark, sf_dir, settings):
+    """Events, customer-days and second purchases read the lines; two of the three reuse one shuffle."""
+    settings(LARGE)
+    text = final_plan(queries()["combined"](spark, sf_dir)).split("== Initial Plan ==")[0]
+    shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning(l_orderkey#" in line]
+    assert ["ReusedExchange" in line for line in shuffles].count(True) == 2 and len(shuffles) == 3
+
+
 def test_basket_items_are_computed_once(spark, sf_dir, settings):
     settings(LARGE)
     assert "ReusedExchange" in final_plan(queries()["product_pairs"](spark, sf_dir))

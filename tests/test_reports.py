@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import day
 from martwright.operators import baskets, clean, cohorts, customers, cycles, mart, refunds, repeaters, revenue
+from martwright.operators.events import customer_days
 from martwright.plans.queries import Inputs, queries
 
 
@@ -100,6 +101,26 @@ def test_mart_has_each_customers_own_profile(make_events, make_customers, make_p
         assert cleaned.columns == mart.combined(clean.events_clean(events), people, clean.products_final(make_products(dict()))).columns
 
 
+def test_whole_mart_is_the_mart(make_events, make_customers, make_products, rows):
+    """Texts that hold what separates and marks packed ones, repeated and missing keys."""
+    odd = ["", " ", "a\x1fb", "\x1b", "\x1ba", "\x1b\x1fb\x1b", "\x1f", None, "Größe", "N/A", "Canada"]
+    events = make_events(
+        *[dict(customer_id=f"C{n % 3}", channel=t, region=odd[-n], country=odd[n - 5], discount_code=odd[n - 3],
+               event_type=None if t == "" else "invoice") for n, t in enumerate(odd)],
+        dict(customer_id=None, product_id="P2", event_date=None), dict(event_id="E1", customer_id="C9", product_id=None),
+    )
+    events = events.unionByName(events.limit(3))
+    people = clean.customers_clean(make_customers(
+        dict(customer_id="C1"), dict(customer_id="C1", signup_date="2024-02-03"), dict(customer_id="C2", signup_date=None),
+    ))
+    people = customers.customers_final(people, events)
+    goods = clean.products_final(make_products(dict(product_id="P1"), dict(product_id="P1"), dict(product_id=None)))
+    whole = mart.combined_whole(events, people, goods, customer_days(events))
+    plain = mart.combined(clean.events_clean(events), people, goods)
+    assert [(f.name, f.dataType) for f in whole.schema] == [(f.name, f.dataType) for f in plain.schema]
+    assert rows(whole) == rows(plain) and len(rows(plain)) > events.count()
+
+
 def test_mart_subset_skips_joins(tables, rows):
     some = ["event_id", "unit_price_local", "days_since_last_invoice", "category"]
     args = (tables.events, tables.customers_final, tables.products)
