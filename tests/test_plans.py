@@ -124,6 +124,15 @@ def test_mart_carries_texts_as_one_column(spark, sf_dir, settings):
         assert "event_id" in carried and not {*mart.EVENT_TEXTS, "signup_year_month"} & set(carried)
 
 
+def test_mart_is_shuffled_by_product_in_the_order_of_types(spark, sf_dir, settings):
+    settings(LARGE)
+    df = queries()["combined"](spark, sf_dir)
+    types = dict(df.dtypes) | {"__known": "boolean", "__profile": "bigint", "__packed": "string"}
+    carried = [types[c] for c in _shuffled(df, "product_id")]
+    order = [*mart.NARROW_FIRST, "string"]
+    assert carried == sorted(carried, key=order.index) and set(carried) == set(order)
+
+
 def test_mart_shuffles_order_lines_once(spark, sf_dir, settings):
     """Events, customer-days and second purchases read the lines; two of the three reuse one shuffle."""
     settings(LARGE)
